@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_language, op2_toxicity, op3_quality, op9_secrets
+from . import op1_language, op2_toxicity, op3_quality, op9_secrets, op10_packing
 
 QUERIES = {
     "op1_language": op1_language.query,
     "op2_toxicity": op2_toxicity.query,
     "op3_quality": op3_quality.query,
     "op9_secrets": op9_secrets.query,
+    "op10_packing": op10_packing.query,
 }
 
 SQL: dict[str, str] = {}
