@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import op1_language, op2_toxicity, op3_quality, op9_secrets, op10_packing
+from . import op1_language, op2_toxicity, op3_quality, op4_transducer, op5_chat, op9_secrets, op10_packing
 
 QUERIES = {
     "op1_language": op1_language.query,
     "op2_toxicity": op2_toxicity.query,
     "op3_quality": op3_quality.query,
+    "op4_transducer": op4_transducer.query,
+    "op5_chat": op5_chat.query,
     "op9_secrets": op9_secrets.query,
     "op10_packing": op10_packing.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_chat": op5_chat.SQL,
+}
