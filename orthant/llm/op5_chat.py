@@ -36,7 +36,7 @@ def prefix_hashes(placed: DataFrame) -> DataFrame:
     blocks = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), *[F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(f"{x}_before") for x in ("x1", "x2")])
     upto = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     inner = h.select("conv_id", "block", "pos", *[F.bit_xor(x).over(upto).alias(x) for x in ("x1", "x2")])
-    return inner.join(blocks, (F.col("conv_id") == F.col("c")) & F.col("block").eqNullSafe(F.col("b"))).select("conv_id", "pos", F.col("x1").bitwiseXOR("x1_before").alias("h1"), F.col("x2").bitwiseXOR("x2_before").alias("h2"))
+    return inner.join(blocks, (F.col("conv_id") == F.col("c")) & F.col("block").eqNullSafe(F.col("b"))).select("conv_id", "pos", F.col("x1").bitwiseXOR(F.col("x1_before")).alias("h1"), F.col("x2").bitwiseXOR(F.col("x2_before")).alias("h2"))
 
 
 def maximal(hashes: DataFrame) -> DataFrame:
