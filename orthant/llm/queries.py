@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_language, op2_toxicity, op3_quality, op4_transducer, op5_chat, op7_minhash, op9_secrets, op10_packing
+from . import op1_language, op2_toxicity, op3_quality, op4_transducer, op5_chat, op7_minhash, op8_embedding, op9_secrets, op10_packing
 
 QUERIES = {
     "op1_language": op1_language.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_transducer": op4_transducer.query,
     "op5_chat": op5_chat.query,
     "op7_minhash": op7_minhash.query,
+    "op8_embedding": op8_embedding.query,
     "op9_secrets": op9_secrets.query,
     "op10_packing": op10_packing.query,
 }
 
 SQL: dict[str, str] = {
     "op5_chat": op5_chat.SQL,
+    "op8_embedding": op8_embedding.SQL,
 }
