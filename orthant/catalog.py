@@ -5,6 +5,238 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .functions.moments import moments, moments_by_leaf, moments_table
+from .functions.solver import solve
+from .operators import consume, quantile
+from .operators.harmonic import harmonic_tree
+from .operators.routing import assign
+from .operators.sampled import sampled_tree, stratified_sample
+from .plans.tree import SplitTree
+from .sources import points, report
+from . import oracle as sql
+
+AXES = ("o_totalprice", "o_custkey")
+KEY = ("o_orderkey",)
+DEPTH, EXACT = 6, 1_000_000
+J = (2, 3, 3)
+HARMONIC_DEPTH = 4
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet")
+
+
+def _canonical(df: DataFrame, depth: int = DEPTH, accuracy: int = EXACT) -> SplitTree:
+    return quantile.canonical_tree(df, AXES, depth, accuracy)
+
+
+def _splits(spark: SparkSession, tree: SplitTree) -> DataFrame:
+    return tree.to_splits(spark).withColumn("point", F.round("point", 4))
+
+
+def _counts(df: DataFrame, tree: SplitTree) -> DataFrame:
+    return consume.leaf_counts(df, tree)
+
+
+def _q_bounds(spark, d):
+    return quantile.bounds(_orders(spark, d), AXES)
+
+
+def _q_normalize(spark, d):
+    return quantile.normalize(_orders(spark, d).select(*KEY, *AXES), AXES).select(*KEY, *[F.round(f"{a}_unit", 9).alias(f"{a}_unit") for a in AXES])
+
+
+def _moments(spark, d, axes, order):
+    df = _orders(spark, d)
+    row = quantile.bounds(df, axes).first()
+    tensor = moments(df, axes, order, [row[f"lower_{a}"] for a in axes], [row[f"upper_{a}"] for a in axes])
+    return moments_table(tensor, spark).withColumn("moment", F.expr("round(moment, 8) + 0.0D"))
+
+
+def _q_moments_1d(spark, d):
+    return _moments(spark, d, AXES[:1], 18)
+
+
+def _q_moments_2d(spark, d):
+    return _moments(spark, d, AXES, 6)
+
+
+def _q_moments_by_leaf(spark, d):
+    import numpy as np
+
+    df = _orders(spark, d)
+    tree = _canonical(df, 2)
+    boxes = {n: tuple(np.array([box[AXES[0]][k]], float) for k in (0, 1)) for n, box in enumerate(tree.boxes())}
+    x = assign(df, tree).select("leaf", F.col(AXES[0]).alias("x0"))
+    out = moments_by_leaf(x, 4, boxes).select("leaf", "count", F.posexplode("moments").alias("pos", "moment"))
+    return out.select("leaf", "count", "pos", F.expr("round(moment, 8) + 0.0D").alias("moment"))
+
+
+def _q_harmonic_root_split(spark, d):
+    df, axis = _orders(spark, d), AXES[0]
+    row = quantile.bounds(df, [axis]).first()
+    lo, hi = row[f"lower_{axis}"], row[f"upper_{axis}"]
+    unit = solve(moments(df, [axis], 18, [lo], [hi]), [0])[0][0]
+    return spark.createDataFrame([(round(float(lo + unit * (hi - lo)), 4),)], "point double")
+
+
+def _harmonic(spark, d, **more):
+    return harmonic_tree(_orders(spark, d), AXES, J, HARMONIC_DEPTH, **more)
+
+
+def _q_harmonic_tree_splits(spark, d):
+    return _splits(spark, _harmonic(spark, d))
+
+
+def _q_harmonic_leaf_counts(spark, d):
+    return _counts(_orders(spark, d), _harmonic(spark, d))
+
+
+def _q_harmonic_batched_leaf_counts(spark, d):
+    return _counts(_orders(spark, d), _harmonic(spark, d, batch_size=1))
+
+
+def _q_harmonic_local_depth(spark, d):
+    return _counts(_orders(spark, d), _harmonic(spark, d, local_depth=2))
+
+
+def _q_harmonic_default_counts(spark, d):
+    return _counts(_orders(spark, d), harmonic_tree(_orders(spark, d), AXES, depth=8, batch_size=4))
+
+
+def _q_canonical_splits(spark, d):
+    return _splits(spark, _canonical(_orders(spark, d)))
+
+
+def _q_canonical_leaf_counts(spark, d):
+    return _counts(_orders(spark, d), _canonical(_orders(spark, d)))
+
+
+def _q_canonical_sketch_counts(spark, d):
+    return _counts(_orders(spark, d), _canonical(_orders(spark, d), accuracy=100))
+
+
+def _q_exact_local_splits(spark, d):
+    return _splits(spark, quantile.exact_tree(_orders(spark, d), AXES, 4))
+
+
+def _q_leaf_assign(spark, d):
+    df = _orders(spark, d)
+    return assign(df, _canonical(df)).select(*KEY, "leaf")
+
+
+def _q_tied_leaf_counts(spark, d):
+    df = spark.read.parquet(f"{d}/lineitem.parquet")
+    return _counts(df, quantile.canonical_tree(df, ("l_extendedprice", "l_discount"), DEPTH, EXACT))
+
+
+def _q_precision(spark, d):
+    df = _orders(spark, d)
+    return consume.precision_of(_counts(df, _canonical(df))).select(F.round("precision", 9).alias("precision"))
+
+
+def _q_precision_by_depth(spark, d):
+    df = _orders(spark, d)
+    tree = _canonical(df, 4)
+    out = None
+    for depth in (2, 3, 4):
+        part = SplitTree(tree.variables[:depth], tree.points[:depth])
+        row = consume.precision_of(_counts(df, part)).select(F.lit(depth).alias("depth"), F.round("precision", 9).alias("precision"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _q_cell_boxes(spark, d):
+    cells = _canonical(_orders(spark, d), 4).to_cells(spark)
+    return cells.select("leaf", "variable", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+
+
+def _q_tree_nodes(spark, d):
+    nodes = _canonical(_orders(spark, d), 4).to_nodes(spark)
+    none = {c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("parent_id", "left_id", "right_id")}
+    return nodes.withColumns(none | {"median": F.round(F.coalesce("median", F.lit(-1.0)), 4), "axis": F.coalesce("axis", F.lit("-"))})
+
+
+def _q_balanced_cells(spark, d):
+    df = _orders(spark, d)
+    return consume.balanced_cells(df, _canonical(df, 4), KEY, 1).select(*KEY, "leaf")
+
+
+def _q_representative_samples(spark, d):
+    df = _orders(spark, d)
+    return consume.representative_samples(df, _canonical(df, 4), 1, KEY).select(*KEY, "sample")
+
+
+def _q_random_samples(spark, d):
+    return consume.random_samples(_orders(spark, d), 50, 1, KEY).select(*KEY, "sample")
+
+
+def _q_stratified_sample(spark, d):
+    df = _orders(spark, d)
+    return stratified_sample(assign(df, _canonical(df, 4)), 100, 0, seed=1, key=KEY).select(*KEY, "leaf")
+
+
+def _q_sampled_tree_counts(spark, d):
+    df = _orders(spark, d)
+    return _counts(df, sampled_tree(df, AXES, 4, step=2, sigma=32, seed=1, key=KEY))
+
+
+def _q_sampled_tree_random(spark, d):
+    df = _orders(spark, d)
+    return _counts(df, sampled_tree(df, AXES, DEPTH))
+
+
+def _q_box_filter(spark, d):
+    df = _orders(spark, d)
+    return consume.in_box(df, _canonical(df, 4), {"o_totalprice": (100_000.0, 200_000.0), "o_custkey": (100.0, 700.0)}).select(*KEY)
+
+
+def _q_generate_blobs(spark, d):
+    return points.blobs(spark, 1, 1 << 12)
+
+
+def _q_generate_normal(spark, d):
+    return points.normal(spark, 1, 1 << 12)
+
+
+def _results(spark: SparkSession) -> DataFrame:
+    schema = "algorithm string, distribution string, size string, parameter string, depth int, precision double, runtime double"
+    return report.combine([spark.createDataFrame([r[:7] for r in sql.RESULTS if r[0] == a], schema) for a in ("canonical", "harmonic")])
+
+
+def _q_bench_union_filter(spark, d):
+    return report.panel(_results(spark), algorithm="canonical", sizes=["2^10", "2^12"])
+
+
+def _q_bench_mean_runtime(spark, d):
+    return report.mean_runtime(_results(spark)).withColumn("runtime", F.round("runtime", 9))
+
+
+def _q_bench_fit(spark, d):
+    model = report.fit(report.mean_runtime(_results(spark)))
+    return model.select("parameter", F.round(F.col("a") * 1e6, 6).alias("a_micro"), F.round("b", 6).alias("b"))
+
+
+def _q_bench_extrapolate(spark, d):
+    model = report.fit(report.mean_runtime(_results(spark)))
+    return report.extrapolate(model).withColumn("runtime", F.round("runtime", 2))
+
+
+def _q_bench_labels(spark, d):
+    return report.labelled(_results(spark), dict(sql.LABELS)).select("algorithm", "size", "parameter", "label", "depth", "distribution")
+
+
+def _q_bench_run(spark, d):
+    df = _orders(spark, d)
+    builders = {f"accuracy = {a}": (lambda x, depth, a=a: quantile.canonical_tree(x, AXES, depth, a)) for a in (10, 100)}
+    return report.benchmark(spark, {("orders", "2^13"): df}, "canonical", builders, [2])
+
+
+#: Each function reads its tables below the folder it is given.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name.removeprefix("_q_"): f for name, f in list(globals().items()) if name.startswith("_q_")}
+
+SQL: dict[str, str] = sql.queries(AXES, KEY[0], DEPTH, J, HARMONIC_DEPTH)
+
+__all__ = ["QUERIES", "SQL"]

@@ -1 +1 @@
-
+"""Builders of partitions and what is done with them."""

@@ -1 +1 @@
-
+"""Descriptions of a partition, small enough for the driver."""

@@ -1 +1 @@
-
+"""Additive statistics of streams."""
