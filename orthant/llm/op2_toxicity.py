@@ -2,7 +2,7 @@
 
 Severity grades are the integers of the column `toxic` of the labels, 0 for
 clean; as many cuts are fitted as grades above 0 occur (the synthetic labels
-have one). A document is toxic if P(severity >= 1) is at least one half.
+have one). A document is toxic if P(severity >= 1) is more than one half.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ def score(docs: DataFrame, model: ordinal.OrdinalModel, least: float = 0.5) -> D
 
     Null and empty texts have no features and get the score of the cuts
     alone, which is the rate of the labels. Whole texts are read; equal rows
-    get equal scores; other columns are not read. Without labels all cuts are
-    near one half and nothing is learned, so `toxic` may not be used.
+    get equal scores; other columns are not read. Without labels nothing is
+    learned: p_toxic is one half and no document is toxic.
     """
 
     def make(tails):
-        toxic = tails[:, 0] >= least
+        toxic = tails[:, 0] > least
         return {"expected_severity": pa.array(tails.sum(1)), "p_toxic": pa.array(tails[:, 0]), "toxic": pa.array(toxic), "kept": pa.array(~toxic)}
 
     return ordinal.score(docs, model, make, "expected_severity double, p_toxic double, toxic boolean, kept boolean")
@@ -43,4 +43,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Drops toxic documents; the model is fitted on the labelled ones among these."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return ordinal.keep_rows(docs, model, lambda tails: tails[:, 0] < least)
+    return ordinal.keep_rows(docs, model, lambda tails: tails[:, 0] <= least)

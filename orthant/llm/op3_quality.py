@@ -30,6 +30,7 @@ def score(docs: DataFrame, model: ordinal.OrdinalModel, least: float = 0.5) -> D
 
     Null and empty texts are scored by their size and ratios alone. Whole
     texts are read; equal rows get equal scores; other columns are not read.
+    Without labels nothing is learned: all tails are one half and all is kept.
     """
 
     def make(tails):

@@ -206,7 +206,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, label: str = "label
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     usable_row = usable("embedding") & F.col(label).isNotNull() & F.col("vec_id").isNotNull()
-    every = vectors.select("vec_id", F.when(usable_row, F.xxhash64(label)).alias("space"), F.when(usable_row, F.col("embedding").cast("array<float>")).alias("v"))
+    every = vectors.select("vec_id", F.when(usable_row, F.xxhash64(label, F.size("embedding"))).alias("space"), F.when(usable_row, F.col("embedding").cast("array<float>")).alias("v"))
     classes = every.where("v is not null").groupBy("space", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = scratch.save(classes.select("id", "space", "copies", "v"), "classes")
     floor = max(0.0, 4 * least**3 - 3 * least)
