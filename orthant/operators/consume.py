@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tree import SplitTree
-from .routing import assign
+from .routing import assign, whole
 
 #: Buckets by the first three hex digits of a hash, for global ranks without a global sort in one task.
 _DIGITS = 3
@@ -24,8 +24,8 @@ def order_key(key: Sequence[str] | None, seed: int) -> Column:
 def leaf_counts(df: DataFrame, tree: SplitTree) -> DataFrame:
     """leaf, count of the leaves that have rows, in order of leaves."""
     columns = [F.col(f"`{v}`") for v in dict.fromkeys(tree.variables)]
-    rows = assign(df.select(*columns) if columns else df.select(F.lit(0).alias("__x")), tree)
-    return rows.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("count")).orderBy("leaf")
+    rows = assign(whole(df.select(*columns) if columns else df.select(F.lit(0).alias("__x")), tree.variables), tree)
+    return rows.groupBy("leaf").agg(F.count("*").alias("count")).orderBy("leaf")
 
 
 def precision_of(counts: DataFrame, expected_leaves: int | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def balanced_cells(df: DataFrame, tree: SplitTree, key: Sequence[str] | None = N
     """All columns and `leaf`: as many rows of every non-empty leaf as the smallest one has; with a key the same rows on every run."""
     least = leaf_counts(df, tree).agg(F.min("count")).first()[0] or 0
     rank = F.row_number().over(Window.partitionBy("leaf").orderBy(order_key(key, seed)))
-    return assign(df, tree).where("leaf is not null").withColumn("__k", rank).where(F.col("__k") <= least).drop("__k")
+    return assign(whole(df, tree.variables), tree).withColumn("__k", rank).where(F.col("__k") <= least).drop("__k")
 
 
 def representative_samples(df: DataFrame, tree: SplitTree, seed: int = 0, key: Sequence[str] | None = None) -> DataFrame:
@@ -83,10 +83,14 @@ def random_samples(df: DataFrame, sample_size: int, seed: int = 0, key: Sequence
 
 
 def in_box(df: DataFrame, tree: SplitTree, box: dict[str, tuple[float, float]]) -> DataFrame:
-    """Rows inside a closed box; leaves whose cells can't meet it are left out first."""
+    """All columns and `leaf` of the rows inside a closed box; the ranges reach the scan, so row groups outside are not read."""
     inside = F.lit(True)
     for v, (lo, hi) in box.items():
         inside = inside & F.col(f"`{v}`").between(lo, hi)
+    return assign(df.where(inside), tree)
+
+
+def leaves_of_box(tree: SplitTree, box: dict[str, tuple[float, float]]) -> list[int]:
+    """The leaves whose cells meet a closed box: what to read of a table that is partitioned by leaf."""
     far = lambda b, lo, hi: (b[0] is not None and b[0] > hi) or (b[1] is not None and b[1] < lo)
-    keep = [n for n, cell in enumerate(tree.boxes()) if not any(v in cell and far(cell[v], lo, hi) for v, (lo, hi) in box.items())]
-    return assign(df, tree).where(F.col("leaf").isin(keep) & inside)
+    return [n for n, cell in enumerate(tree.boxes()) if not any(v in cell and far(cell[v], lo, hi) for v, (lo, hi) in box.items())]

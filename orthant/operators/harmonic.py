@@ -13,7 +13,7 @@ from ..functions.moments import check_budget, merged, moments, order_of, partial
 from ..functions.solver import solve
 from ..plans.tree import SplitTree, batches, schedule
 from .quantile import deepen, with_bounds
-from .routing import assign, value
+from .routing import assign, value, whole
 
 
 def _grow(tree: SplitTree, variables: list[str], rows) -> SplitTree:
@@ -58,7 +58,7 @@ def harmonic_tree(df: DataFrame, variables: Sequence[str], j: Sequence[int] = (2
             rows = _points(tensor, axes, lo, hi, 0) if tensor.flat[0] else []
         else:
             boxes = {n: tuple(np.array([box[v][k] for v in used], float) for k in (0, 1)) for n, box in enumerate(tree.boxes())}
-            points = assign(df, tree, "__leaf").select(F.col("__leaf").alias("leaf"), *[value(v).alias(f"x{i}") for i, v in enumerate(used)]).dropna()
+            points = assign(whole(df, [*tree.variables, *used]), tree, "__leaf").select(F.col("__leaf").alias("leaf"), *[value(v).alias(f"x{i}") for i, v in enumerate(used)])
 
             shape = (2 * order + 1,) * len(used)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tree import SplitTree, schedule
-from .routing import assign, value
+from .routing import assign, value, whole
 
 
 def bounds(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def normalize(df: DataFrame, variables: Sequence[str], suffix: str = "_unit") ->
 
 def level_points(df: DataFrame, tree: SplitTree, variable: str, median: Column) -> dict[int, float | None]:
     """The median of each non-empty node of the level after the tree; one partial and final aggregate."""
-    rows = assign(df, tree, "__leaf").where(F.col("__leaf").isNotNull()).groupBy("__leaf").agg(median.alias("point")).collect()  # 2**depth rows at most
+    rows = assign(whole(df, tree.variables), tree, "__leaf").groupBy("__leaf").agg(median.alias("point")).collect()  # 2**depth rows at most
     return {r["__leaf"]: r["point"] for r in rows}
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.tree import SplitTree, rounds, schedule
 from .consume import order_key
 from .quantile import with_bounds
-from .routing import assign, value
+from .routing import assign, value, whole
 
 
 def stratified_sample(df: DataFrame, cap: int, spare: int, by: str = "leaf", seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
@@ -20,12 +20,11 @@ def stratified_sample(df: DataFrame, cap: int, spare: int, by: str = "leaf", see
 
     Without a key, rows are first thinned at random to about cap + spare of
     each stratum, then cut to cap; with a key, the rows whose seeded hashes
-    are smallest are taken, which is the same on every run and engine. Rows
-    without a stratum are left out.
+    are smallest are taken, which is the same on every run and engine. A null
+    is a stratum like any other value, but has no random sample.
     """
-    df = df.where(F.col(by).isNotNull())
     if key is None:
-        counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect()}  # as many rows as leaves
+        counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).collect() if r[by] is not None}  # as many rows as leaves
         df = df.sampleBy(by, {k: min(1.0, (cap + spare) / n) for k, n in counts.items()}, seed)
     rank = F.row_number().over(Window.partitionBy(by).orderBy(order_key(key, seed)))
     return df.withColumn("__k", rank).where(F.col("__k") <= cap).drop("__k")
@@ -54,12 +53,11 @@ def sampled_tree(df: DataFrame, variables: Sequence[str], depth: int | None = No
     tree, plan = with_bounds(df, names), schedule(variables, depth)
     for levels in rounds(depth, step):
         now = plan[tree.depth : tree.depth + levels]
-        sample = stratified_sample(assign(df, tree, "__leaf"), (1 << levels) * sigma, 2 * sigma, "__leaf", seed, key)
+        sample = stratified_sample(assign(whole(df, names), tree, "__leaf"), (1 << levels) * sigma, 2 * sigma, "__leaf", seed, key)
         sample = sample.select(F.col("__leaf").alias("leaf"), *[value(v).alias(f"x{i}") for i, v in enumerate(names)])
 
         def solve(table):  # sent out by collect() below, within this round
             x = np.stack([table.column(f"x{i}").to_numpy() for i in range(len(names))], 1)
-            x = x[~np.array([table.column(f"x{i}").is_null().to_numpy() for i in range(len(names))]).any(0)]
             leaf = table.column("leaf")[0].as_py()
             found = subtree(x, len(now), [names.index(v) for v in now])
             rows = [(d, leaf * (1 << d) + n, p) for d, level in enumerate(found) for n, p in enumerate(level)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.solver import solve
-from ..operators.routing import leaf, value
+from ..operators.routing import assign, value, whole
 from ..plans.tree import SplitTree
 
 
@@ -22,9 +22,9 @@ def stream_moments(points: DataFrame, variable: str, order: int, lower: float, u
     """
     width = upper - lower
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value(variable) - lower) / width)) if width else F.lit(0.0)
-    rows = points.where(value(variable).isNotNull()).select((leaf(tree) if tree else F.lit(0).cast("long")).alias("leaf"), x.alias("x"))
+    rows = assign(whole(points, [variable, *(tree.variables if tree else ())]), tree or SplitTree()).select("leaf", x.alias("x"))
     sums = [F.sum(f((2 * k + 1) * F.col("x"))) for k in range(order) for f in (F.cos, F.sin)]
-    return rows.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("count"), F.array(*sums).alias("sums"))
+    return rows.groupBy("leaf").agg(F.count("*").alias("count"), F.array(*sums).alias("sums"))
 
 
 def median_of(count: int, sums: Sequence[float], lower: float, upper: float) -> float:

@@ -127,6 +127,23 @@ def test_stratified_sample_caps(grid):
     assert all(r["count"] <= 10 for r in stratified_sample(df, 10, 20).groupBy("leaf").count().collect())
 
 
+def test_plans_stay_linear_in_depth(grid):
+    sizes = []
+    for depth in (4, 8):
+        tree = SplitTree()
+        for d in range(depth):
+            tree = tree.grown("xy"[d % 2], dict.fromkeys(range(1 << d), 1.0))
+        sizes.append(consume.leaf_counts(grid, tree)._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN"))
+    assert sizes == [8, 16]
+
+
+def test_boxes(grid):
+    tree, box = exact_tree(grid, ["x", "y"], 4), {"x": (10.0, 90.0), "y": (100.0, 300.0)}
+    rows = consume.in_box(grid, tree, box).collect()
+    assert len(rows) == grid.where("x between 10 and 90 and y between 100 and 300").count()
+    assert {r["leaf"] for r in rows} <= set(consume.leaves_of_box(tree, box)) < set(range(16))
+
+
 def test_subtree_of_nothing():
     assert subtree(np.empty((0, 1)), 2, [0, 0]) == [[None], [None, None]]
 
