@@ -19,5 +19,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op5_chat": op5_chat.SQL,
+    "op7_minhash": op7_minhash.SQL,
     "op8_embedding": op8_embedding.SQL,
 }
