@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 from .op10_packing import byte_alphabet
 from .segment import pieces, unsure
 from .textvec import code_points, run_hashes
@@ -258,18 +258,33 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(words: DataFrame, size: int) -> list[str]:
+    """The most frequent words, `size` at most: all that are at least as frequent as the lowest eighth of an octave that still fits.
+
+    Only a histogram of some hundred rows and the words themselves reach the
+    driver.
+    """
+    words = words.withColumn("octave", F.floor(F.log2("n") * 8))
+    least, total = None, 0
+    for r in words.groupBy("octave").agg(F.count("*").alias("words")).orderBy(F.desc("octave")).collect():
+        total += r["words"]
+        if total > size:
+            break
+        least = r["octave"]
+    if least is None:
+        return []
+    return [r["word"] for r in words.where(F.col("octave") >= least).select("word").collect()]
+
+
 def build(docs: DataFrame, path: str, size: int = LEXICON) -> str:
     """Compile the most frequent words of all documents; returns the name under which executors find the file."""
-    spark = docs.sparkSession
-    rows = count_words(docs, path).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "words")
+    words = [w.encode() for w in frequent(scratch.save(count_words(docs, path).where(F.length("word") <= 64), "counts"), size)]
+    scratch.drop("counts")
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    with tempfile.TemporaryDirectory() as folder:
-        at = os.path.join(folder, name)
-        words = [r["word"].encode() for r in rows]
-        compile_lexicon(dict(zip(words, merger(path).all_ids(words), strict=True)), at)
-        keep = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-        os.replace(at, keep)
-    spark.sparkContext.addFile(keep)
+    at = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)  # on the driver; executors fetch it from there
+    compile_lexicon(dict(zip(words, merger(path).all_ids(words), strict=True)), at)
+    spark.sparkContext.addFile(at)
     return name
 
 
