@@ -34,15 +34,13 @@ def precision_of(counts: DataFrame, expected_leaves: int | None = None) -> DataF
     The mean is over the leaves that have rows; with `expected_leaves` it is
     over so many, and empty ones count as deviating by the mean.
     """
-    if expected_leaves is None:
-        mean, empty = F.avg("count"), F.lit(0.0)
-    else:
-        mean = F.sum("count") / F.lit(float(expected_leaves))
-        empty = F.lit(float(expected_leaves)) - F.count("*")
-    one = counts.agg(mean.alias("mean"), empty.alias("empty"), F.sum("count").alias("total"))
-    spread = counts.crossJoin(F.broadcast(one)).agg(F.sum(F.abs(F.col("count") - F.col("mean"))).alias("off"), F.first("mean").alias("mean"), F.first("empty").alias("empty"), F.first("total").alias("total"))
-    share = (F.col("off") + F.col("mean") * F.col("empty")) / F.col("total")
-    return spread.select(F.when(share == 0, F.lit(float("inf"))).otherwise(-F.log(share)).alias("precision"))
+    listed = counts.agg(F.collect_list(F.col("count").cast("double")).alias("c"))  # as many as leaves
+    total = F.aggregate("c", F.lit(0.0), lambda a, x: a + x)
+    leaves = F.size("c").cast("double") if expected_leaves is None else F.lit(float(expected_leaves))
+    spread = listed.select("c", total.alias("total"), (total / F.nullif(leaves, F.lit(0.0))).alias("mean"), (leaves - F.size("c")).alias("empty"))
+    off = F.aggregate("c", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("mean")))
+    share = (off + F.col("mean") * F.col("empty")) / F.nullif(F.col("total"), F.lit(0.0))
+    return spread.select(share.alias("share")).select(F.when(F.col("share") == 0, F.lit(float("inf"))).otherwise(-F.log("share")).alias("precision"))
 
 
 def precision(df: DataFrame, tree: SplitTree, expected_leaves: int | None = None) -> float | None:
