@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that become Python objects at once.
+ROWS = 1000
 #: Scratch folders of this process that were not removed yet.
 _open: dict[str, SparkSession] = {}
 
@@ -65,12 +67,12 @@ class Scratch:
 
 
 def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The mapInArrow function that applies fn to each batch that has rows."""
+    """The mapInArrow function that applies fn to ROWS rows at a time, so that only so many texts are Python strings at once."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for lo in range(0, batch.num_rows, ROWS):
+                yield fn(batch.slice(lo, ROWS))
 
     return run
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ROWS, table
 from .segment import pieces, unsure
 from .textvec import code_points, run_hashes
 
@@ -30,7 +30,7 @@ WINDOW = 1024
 PART, BLOCK = 256, 4096
 END = 0
 #: Pieces remembered by a worker; beyond that it forgets all and goes on, with the same results.
-MEMO = 1_000_000
+MEMO = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,9 +50,8 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         alphabet = byte_alphabet()
@@ -64,6 +63,13 @@ class Encoder:
             self.core = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.forget()
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.at: dict[int, int] = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
@@ -222,7 +228,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             held = []
             return rows
 
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             lo = 0
             while lo < len(texts):

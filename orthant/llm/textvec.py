@@ -83,7 +83,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about `most` bytes each, so that working arrays stay small."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
