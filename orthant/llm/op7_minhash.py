@@ -3,10 +3,10 @@
 1. One pass over the texts gives each document its number of shingles, a
    128-bit fingerprint of its shingle set and a signature of 96 minima.
    Documents with equal sets become one class.
-2. TREES sorted orders of the signatures are the forest. Documents whose first
-   DEPTH minima agree stand side by side in an order; a region of more than
-   REGION of them is split at deeper prefixes. Within a region, signatures are
-   compared, and what may reach the threshold (less MARGIN) is joined loosely.
+2. TREES keys of DEPTH minima each are the forest. All documents that agree on
+   a key are a region, and what may reach the threshold (less MARGIN) in it is
+   joined loosely: up to REGION documents by all pairs, more in blocks, each
+   pair of which is searched until everything joined is reached.
 3. Every loosely joined group is confirmed on the full sets of its members, in
    tiles of bounded size, so that no link within a group is lost.
 4. Connected components of the confirmed links give the result.
@@ -26,6 +26,8 @@ from .textvec import blocks, byte_tables, mix, run_hashes, runs, utf8
 HASHES, TREES, DEPTH = 96, 16, 4
 #: Documents compared with each other at once in a region of an order, and in a tile of a loose group.
 REGION, TILE = 256, 128
+#: Documents of a larger region that meet those of another block in one group, and how many are searched from at once.
+BLOCK, AT_ONCE = 1024, 64
 #: How far an estimate from 96 minima may fall below the threshold (four standard errors).
 MARGIN = 0.15
 _rng = np.random.default_rng(20)
@@ -101,7 +103,10 @@ def _flat(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def _regions(k2: np.ndarray, lo: int, hi: int, depth: int):
-    """Ranges of at most REGION rows with equal deeper prefixes; at full depth, overlapping ranges."""
+    """Ranges of at most REGION rows with equal deeper prefixes; at full depth, overlapping ranges.
+
+    Such ranges don't hold all pairs, so `loose_links` doesn't use them.
+    """
     if hi - lo <= REGION:
         yield lo, hi
     elif depth == 4:
@@ -128,29 +133,78 @@ def _loose(sig: np.ndarray, sizes: np.ndarray, least: float, percent: int) -> tu
     return np.nonzero(np.triu((agree >= least * HASHES) & fit, 1))
 
 
+def _reached(sig: np.ndarray, sizes: np.ndarray, side: np.ndarray, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the pairs of `_loose` connect; with two sides, what pairs across them connect.
+
+    Each row is compared with the rows not reached yet, so that the cost is at
+    most that of all pairs, and little where most rows are joined.
+    """
+    columns = np.ascontiguousarray(sig.T)
+    across = side[0] != side[-1]
+    open_ = np.ones(len(sig), bool)
+    a, b = [], []
+    for seed in range(len(sig)):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        queue = [np.array([seed])]
+        while queue:
+            rows = queue.pop()
+            if len(rows) > AT_ONCE:
+                queue.append(rows[AT_ONCE:])
+                rows = rows[:AT_ONCE]
+            for own in (rows[side[rows] == s] for s in (side[0], side[-1])) if across else (rows,):
+                rest = np.flatnonzero(open_ & (side != side[own[0]])) if across and len(own) else np.flatnonzero(open_)
+                if not len(own) or not len(rest):
+                    continue
+                if len(own) == 1:
+                    agree = (sig[rest] == sig[own[0]]).sum(1)[None]
+                else:
+                    agree = np.zeros((len(own), len(rest)), np.uint8)
+                    for c in columns:
+                        agree += c[own][:, None] == c[rest][None]
+                x, y = sizes[own][:, None], sizes[rest][None]
+                near = (agree >= least * HASHES) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+                hit = np.flatnonzero(near.any(0))
+                if len(hit):
+                    a.append(own[near[:, hit].argmax(0)]), b.append(rest[hit])
+                    open_[rest[hit]] = False
+                    queue.append(rest[hit])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
 def loose_links(reps: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join what may reach the threshold, as forests of each region."""
     least = percent / 100 - MARGIN
-    trees = F.posexplode(F.slice("sig", 1, TREES)).alias("t", "k1")
-    keys = reps.select("doc_id", trees)
-    shared = keys.groupBy("t", "k1").agg(F.count("*").alias("n")).where("n > 1").select("t", "k1")
-    active = keys.join(shared, ["t", "k1"], "left_semi").select("doc_id").distinct()
-    rows = reps.join(active, "doc_id", "left_semi").select("doc_id", "n_shingles", "sig", trees)
-    deeper = F.element_at("sig", ((F.col("t") + 7) % (HASHES // 4) + 1).cast("int"))
-    rows = rows.withColumn("k2", deeper).repartitionByRange("t", "k1", "k2", "doc_id").sortWithinPartitions("t", "k1", "k2", "doc_id")
+    keys = reps.select("doc_id", F.posexplode(F.slice("sig", 1, TREES)).alias("t", "k1"))
+    tiles = F.when(F.col("n") <= REGION, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")
+    shared = keys.groupBy("t", "k1").agg(F.count("*").alias("n")).where("n > 1").select("t", "k1", tiles.alias("tiles"))
+    rows = reps.select("doc_id", "n_shingles", "sig").join(keys.join(shared, ["t", "k1"]), "doc_id")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("t", "k1", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "doc_id", "n_shingles", "sig")
+    rows = rows.repartition("t", "k1", "p", "q").sortWithinPartitions("t", "k1", "p", "q", "tile", "doc_id")
 
     def run(batches):
-        for group in sorted_groups(batches, ["t", "k1"]):
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told():
+            return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k, c in enumerate("ab")})
+
+        for group in sorted_groups(batches, ["t", "k1", "p", "q"]):
             n = group.num_rows
-            if n < 2:
+            ids, sizes, tile, p, q = (group.column(c).to_numpy() for c in ("doc_id", "n_shingles", "tile", "p", "q"))
+            if n < 2 or (p[0] != q[0] and tile[0] == tile[-1]):
                 continue
-            ids, sizes, k2 = (group.column(c).to_numpy() for c in ("doc_id", "n_shingles", "k2"))
             sig = _flat(group.column("sig"), np.uint16).reshape(n, HASHES)
-            pairs = [(i + lo, j + lo) for lo, hi in _regions(k2, 0, n, 0) for i, j in [_loose(sig[lo:hi], sizes[lo:hi], least, percent)] if len(i)]
-            if pairs:
-                a, b = forest(ids[np.concatenate([p[0] for p in pairs])], ids[np.concatenate([p[1] for p in pairs])])
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            i, j = _loose(sig, sizes, least, percent) if n <= REGION and p[0] == q[0] else _reached(sig, sizes, tile, least, percent)
+            if len(i):
+                out.append(forest(ids[i], ids[j]))
+            if len(out) == 1000:
+                yield told()
+                out = []
+        if out:
+            yield told()
 
     return rows.mapInArrow(run, SCHEMA)
 

@@ -113,6 +113,32 @@ def test_regions_are_split_without_loss_of_order():
     assert same[-1][1] == 1000 and all(x[1] > y[0] for x, y in zip(same, same[1:], strict=False))
 
 
+def test_pairs_of_a_large_region_are_found_wherever_their_ids_are(spark):
+    rng = np.random.default_rng(7)
+    sig = rng.integers(0, 1 << 16, (3000, op7.HASHES)).astype(np.uint16)
+    sig[:, :64] = sig[0, :64]  # all trees' keys agree, the estimate of 0.67 stays below 0.85 - MARGIN
+    pairs = [(i, 2900 - 7 * i) for i in range(12)]
+    for a, b in pairs:
+        sig[b, 88:90], sig[b, 92:] = sig[a, 88:90], sig[a, 92:]
+    rows = [(i, 100, x) for i, x in enumerate(sig.view(np.int64).tolist())]
+    reps = spark.createDataFrame(rows, "doc_id long, n_shingles long, sig array<long>").repartition(3)
+    got = {(min(r), max(r)) for r in op7.loose_links(reps, 85).collect()}
+    assert got == set(pairs)
+
+
+def test_search_of_a_region_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(8)
+    for two in (False, True):
+        base = rng.integers(0, 1 << 16, (30, op7.HASHES))
+        sig = np.where(rng.random((300, op7.HASHES)) < 0.85, base[rng.integers(0, 30, 300)], rng.integers(0, 1 << 16, (300, op7.HASHES))).astype(np.uint16)
+        side, sizes = np.repeat([0, int(two)], 150), rng.integers(80, 120, 300)
+        i, j = op7._loose(sig, sizes, 0.7, 85)
+        if two:
+            i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+        x, y = op7._reached(sig, sizes, side, 0.7, 85)
+        assert len(i) and roots(300, zip(x.tolist(), y.tolist(), strict=True)) == roots(300, zip(i.tolist(), j.tolist(), strict=True))
+
+
 def vectors_of(spark, seed=0):
     rng = np.random.default_rng(seed)
     rows = []
