@@ -7,9 +7,10 @@
 3. NN-descent: the neighbours of every vector, both ways, are compared with
    each other, and what improves a list of K neighbours is joined in, until
    few lists change.
-4. Lists that hold K links are saturated. They are enlarged to their whole
-   component: its members are compared in tiles, so counts of links are exact
-   there and pairs are never written out.
+4. Lists that hold K links are saturated. They are enlarged to all other
+   saturated vectors of the label, compared in blocks, which finds the links
+   between components, and to their whole component: its members are compared
+   in tiles, so counts of links are exact there and pairs are never written out.
 5. An audit compares a bounded sample with all vectors; below RECALL, more
    orders are added and the descent goes on.
 """
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, sorted_groups, table
-from .components import components
+from .components import SCHEMA, components, forest
 from .vectors import matrix, usable
 
 ORDERS, MOST_ORDERS, BITS, BESIDE, K = 16, 64, 62, 3, 8
 ROUNDS, CHANGED = 8, 0.005
 TILE = 128
+#: Saturated vectors of a label that meet those of another block at once.
+BLOCK = 1024
 #: Vectors of the audit, and the share of their links to be found.
 AUDIT, RECALL = 512, 0.99
 _EDGE = "a long, b long, cosine double"
@@ -101,16 +104,16 @@ def descend(classes: DataFrame, edges: DataFrame, floor: float) -> DataFrame:
     lists = _lists(edges)
     worst = lists.groupBy("v").agg(F.max("worst").alias("worst"))
     ways = lists.select(F.col("v").alias("pivot"), "u").union(lists.select("u", "v")).distinct()
-    part = Window.partitionBy("pivot").orderBy(F.xxhash64("pivot", "u"))
-    salted = Window.partitionBy("pivot", F.pmod(F.xxhash64("u"), F.lit(16))).orderBy(F.xxhash64("pivot", "u"))
-    ways = ways.withColumn("k", F.row_number().over(salted)).where(F.col("k") <= 2 * K).withColumn("k", F.row_number().over(part)).where(F.col("k") <= 2 * K)
-    rows = ways.select("pivot", "u").join(worst, F.col("u") == F.col("v"), "left").select("pivot", "u", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
-    rows = rows.join(classes.select("id", F.col("v").alias("x")), F.col("u") == F.col("id")).select("pivot", "u", "worst", "x")
-    rows = rows.repartition("pivot").sortWithinPartitions("pivot", "u")
+    sizes = ways.groupBy("pivot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    ways = ways.join(sizes, "pivot").withColumn("tile", F.pmod(F.xxhash64("u"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    ways = ways.select("pivot", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "u")
+    rows = ways.join(worst, F.col("u") == F.col("v"), "left").select("pivot", "p", "q", "u", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
+    rows = rows.join(classes.select("id", F.col("v").alias("x")), F.col("u") == F.col("id")).select("pivot", "p", "q", "u", "worst", "x")
+    rows = rows.repartition("pivot", "p", "q").sortWithinPartitions("pivot", "p", "q", "u")
 
     def compare(batches):
         a, b, c, size = [], [], [], 0
-        for group in sorted_groups(batches, ["pivot"]):
+        for group in sorted_groups(batches, ["pivot", "p", "q"]):
             if group.num_rows < 2:
                 continue
             ids, bad, x = group.column("u").to_numpy(), group.column("worst").to_numpy(), _unit(matrix(group.column("x")))
@@ -129,6 +132,41 @@ def descend(classes: DataFrame, edges: DataFrame, floor: float) -> DataFrame:
     return found.join(edges.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def saturated(edges: DataFrame, least: float) -> DataFrame:
+    """id of the vectors with K known links or more, whose lists may have left out others."""
+    near = edges.where(F.col("cosine") >= least)
+    return near.select(F.col("a").alias("id")).union(near.select("b")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= K).select("id")
+
+
+def links_between(classes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b), as forests of pairs of blocks, that connect the components of the given classes; parts: id, component."""
+    rows = classes.select("id", "space", "v").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    blocks = rows.groupBy("space").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = blocks.where("low < high").select("space", "blocks")
+    rows = rows.join(blocks, "space").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("space", F.size("v").alias("d"), F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "id", "component", "v")
+    keys = ["space", "d", "p", "q"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "tile", "id")
+
+    def run(batches):
+        for group in sorted_groups(batches, keys):
+            tile, part = group.column("tile").to_numpy(), group.column("component").to_numpy()
+            one = group.column("p")[0].as_py() == group.column("q")[0].as_py()
+            cut = 0 if one else int(np.searchsorted(tile, tile[0], "right"))
+            x = _unit(matrix(group.column("v")))
+            a, b = [], []
+            for lo in range(0, len(x) if one else cut, TILE):
+                rows = slice(lo, min(lo + TILE, len(x) if one else cut))
+                i, j = np.nonzero((x[rows] @ x[cut:].T >= least) & (part[rows, None] != part[None, cut:]))
+                if len(i):
+                    a.append(part[rows][i]), b.append(part[cut:][j])
+            if a:
+                a, b = forest(np.concatenate(a), np.concatenate(b))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
 def count_links(classes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     """id, n: how many rows of other classes each member of a component links with; groups: id, component, without the smallest member."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
@@ -225,7 +263,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, label: str = "label
                 step += 1
             if new <= CHANGED * had:
                 break
-        parts = components(edges.where(F.col("cosine") >= least).select("a", "b"), scratch, f"parts-{step}")
+        links = edges.where(F.col("cosine") >= least).select("a", "b")
+        parts = components(links, scratch, f"parts-{step}")
+        full = classes.join(saturated(edges, least), "id", "left_semi")
+        between = scratch.save(links_between(full, parts, least), f"between-{step}")
+        if between.limit(1).count():
+            parts = components(links.union(between), scratch, f"joined-{step}")
         counted = scratch.save(count_links(classes, parts, least), f"counts-{step}")
         if orders >= MOST_ORDERS or _audit(classes, counted, least) >= RECALL:
             break

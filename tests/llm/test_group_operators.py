@@ -180,6 +180,47 @@ def test_near_duplicate_vectors(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(rows))] == want and all(got[i]["kept"] == (want[i] == i) for i in got)
 
 
+def dense_groups(apart):
+    """Two dense groups, whose nearest members alone are linked, in unit vectors."""
+    rng = np.random.default_rng(5)
+    x = []
+    for side in (-1, 1):
+        angle = side * (apart / 2 + np.linspace(0, 0.03, 40))
+        x += [np.concatenate([[np.cos(t), np.sin(t)], rng.normal(size=6) * 0.002]) for t in angle]
+    return [(i, [float(np.float32(c)) for c in v], 0) for i, v in enumerate(x)]
+
+
+def linked(rows):
+    """(links of each row, roots) by all pairs."""
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.98
+    np.fill_diagonal(link, False)
+    return link.sum(1).tolist(), roots(len(rows), zip(*np.nonzero(link), strict=True))
+
+
+def test_links_between_saturated_groups(spark, monkeypatch):
+    monkeypatch.setattr(op8, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(op8, "_audit", lambda *_: 1.0)
+    rows = dense_groups(0.19)
+    inside = [(i, j, float(np.dot(rows[i][1], rows[j][1]))) for j in range(80) for i in range(j) if (i < 40) == (j < 40)]
+    monkeypatch.setattr(op8, "first_neighbours", lambda *_: spark.createDataFrame(inside, op8._EDGE))
+    counts, want = linked(rows)
+    got = {r["vec_id"]: r for r in op8.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert set(want) == {0} and min(counts) >= op8.K
+    assert [got[i]["component_id"] for i in range(len(rows))] == want and [got[i]["n_links"] for i in range(len(rows))] == counts
+
+
+def test_all_neighbours_of_a_pivot_meet(spark):
+    n, rng = 200, np.random.default_rng(6)
+    x = np.concatenate([[np.eye(64)[0]], np.eye(64)[0] + rng.normal(size=(n, 64)) * 0.08])
+    x[n] = x[1] + 0.001  # linked with 1 and known to it through the centre only
+    classes = spark.createDataFrame([(i, 0, 1, v) for i, v in enumerate(x.tolist())], "id long, space long, copies long, v array<float>")
+    edges = spark.createDataFrame([(0, i, 0.8) for i in range(1, n + 1)], "a long, b long, cosine double")
+    got = {(r["a"], r["b"]) for r in op8.descend(classes, edges, 0.5).collect()}
+    assert (1, n) in got
+
+
 def test_vectors_without_rows_or_ids(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert op8.near_duplicates(empty).count() == 0 and op6.search(empty, empty).count() == 0
