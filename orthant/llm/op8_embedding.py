@@ -12,7 +12,8 @@
    between components, and to their whole component: its members are compared
    in tiles, so counts of links are exact there and pairs are never written out.
 5. An audit compares a bounded sample with all vectors; below RECALL, more
-   orders are added and the descent goes on.
+   orders are added and the descent goes on. If the last order leaves it below,
+   all vectors of a label are compared in blocks.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ ROUNDS, CHANGED = 8, 0.005
 TILE = 128
 #: Saturated vectors of a label that meet those of another block at once.
 BLOCK = 1024
-#: Vectors of the audit, and the share of their links to be found.
+#: Vectors of the audit, and the share of them whose links are all to be found.
 AUDIT, RECALL = 512, 0.99
 _EDGE = "a long, b long, cosine double"
 
@@ -200,7 +201,7 @@ def count_links(classes: DataFrame, groups: DataFrame, least: float) -> DataFram
 
 
 def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
-    """Share of the links of a bounded sample of classes that were found."""
+    """Share of a bounded sample of classes whose links were all found; the lesser of those with few and with many links."""
     sample = classes.orderBy(F.xxhash64("id")).limit(AUDIT).toArrow()
     if not sample.num_rows:
         return 1.0
@@ -227,8 +228,9 @@ def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
         yield pa.RecordBatch.from_pydict({"id": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
     true = classes.select("id", "space", "copies", "v").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("t")).where("t > 0")
-    got = true.join(counted, "id", "left").agg(F.sum("t").alias("t"), F.sum(F.coalesce("n", F.lit(0))).alias("n")).first()
-    return 1.0 if not got["t"] else got["n"] / got["t"]
+    whole = (F.coalesce("n", F.lit(0)) >= F.col("t")).cast("double")
+    shares = true.join(counted, "id", "left").groupBy(F.col("t") > K).agg(F.avg(whole).alias("share")).collect()
+    return min((r["share"] for r in shares), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, label: str = "label") -> DataFrame:
@@ -270,7 +272,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, label: str = "label
         if between.limit(1).count():
             parts = components(links.union(between), scratch, f"joined-{step}")
         counted = scratch.save(count_links(classes, parts, least), f"counts-{step}")
-        if orders >= MOST_ORDERS or _audit(classes, counted, least) >= RECALL:
+        if _audit(classes, counted, least) >= RECALL:
+            break
+        if orders >= MOST_ORDERS:
+            rest = scratch.save(links_between(classes, parts, least), "rest")
+            parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest), scratch, "whole-parts")
+            counted = scratch.save(count_links(classes, parts, least), "whole-counts")
             break
     named = classes.select("id", "space", "copies", "v").join(counted, "id", "left").join(parts, "id", "left")
     named = named.select(F.col("space").alias("s"), F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("root"))

@@ -221,6 +221,31 @@ def test_all_neighbours_of_a_pivot_meet(spark):
     assert (1, n) in got
 
 
+def test_audit_sees_lost_pairs_beside_a_dense_group(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=16)
+    x = [base + rng.normal(size=16) * 0.01 for _ in range(200)]
+    for _ in range(10):
+        pair = rng.normal(size=16)
+        x += [pair, pair + 0.001]
+    classes = spark.createDataFrame([(i, 0, 1, v.tolist()) for i, v in enumerate(x)], "id long, space long, copies long, v array<float>")
+    found = [(i, 199) for i in range(200)]
+    every = found + [(i, 1) for i in range(200, 220)]
+    assert op8._audit(classes, spark.createDataFrame(found, "id long, n long"), 0.98) < op8.RECALL
+    assert op8._audit(classes, spark.createDataFrame(every, "id long, n long"), 0.98) == 1
+
+
+def test_failed_search_is_finished_exactly(spark, monkeypatch):
+    monkeypatch.setattr(op8, "MOST_ORDERS", op8.ORDERS)
+    monkeypatch.setattr(op8, "first_neighbours", lambda *_: spark.createDataFrame([], op8._EDGE))
+    rows = dense_groups(0.5)
+    rows += [(80 + i, v, 0) for i, v in enumerate(np.repeat(np.eye(8)[2:], 2, 0).tolist())]
+    rows[81] = (81, [0.0, 0.0, 1.0, 0.01] + [0.0] * 4, 0)
+    counts, want = linked(rows)
+    got = {r["vec_id"]: r for r in op8.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert [got[i]["component_id"] for i in range(len(rows))] == want and [got[i]["n_links"] for i in range(len(rows))] == counts
+
+
 def test_vectors_without_rows_or_ids(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert op8.near_duplicates(empty).count() == 0 and op6.search(empty, empty).count() == 0
