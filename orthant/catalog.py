@@ -194,11 +194,11 @@ def _q_box_filter(spark, d):
 
 
 def _q_generate_blobs(spark, d):
-    return points.blobs(spark, 1, 1 << 12)
+    return points.blobs(spark, 1)
 
 
 def _q_generate_normal(spark, d):
-    return points.normal(spark, 1, 1 << 12)
+    return points.normal(spark, 1)
 
 
 def _results(spark: SparkSession) -> DataFrame:
