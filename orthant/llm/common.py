@@ -62,6 +62,17 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put(self, content: bytes, name: str) -> str:
+        """Write a small file into the folder; returns its path."""
+        jvm, path = self.spark.sparkContext._jvm, f"{self.root}/{name}"
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        return path
+
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.root}/{name}")
 

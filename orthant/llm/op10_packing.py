@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROWS, table
-from .segment import pieces, unsure
-from .textvec import code_points, run_hashes
+from .segment import IdMemo, pieces, unsure
+from .textvec import code_points
 
 WINDOW = 1024
 #: Largest part of a cut remainder, and parts dealt at once. Smaller parts and larger blocks leave less padding and take longer.
@@ -61,7 +61,7 @@ class Encoder:
         if all(x < y for x, y in zip(merged, merged[1:], strict=False)):  # merges in order of ids, as ranks need it
             ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if all(c in alphabet for c in t)}
             self.core = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.forget()
+        self.memo = IdMemo(self._find, MEMO)
 
     @cached_property
     def library(self):
@@ -70,27 +70,10 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def forget(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.first, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-
-    def _add(self, keys: list[int], texts: list[str]) -> None:
+    def _find(self, texts: list[str]) -> list[list[int]]:
         if self.core is None:
-            found = [self.library.encode(t, add_special_tokens=False).ids for t in texts]
-        else:
-            found = [self.core._core_bpe.encode_single_piece(t.encode()) for t in texts]
-        sizes = np.array([len(x) for x in found], np.int64)
-        new, slot = np.array([i for x in found for i in x], np.uint32), len(self.at)
-        while self.used + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while slot + len(keys) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.size))
-        self.ids[self.used : self.used + len(new)] = new
-        self.first[slot : slot + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.size[slot : slot + len(keys)] = sizes
-        self.used += len(new)
-        self.at.update(zip(keys, range(slot, slot + len(keys)), strict=True))
+            return [self.library.encode(t, add_special_tokens=False).ids for t in texts]
+        return [self.core._core_bpe.encode_single_piece(t.encode()) for t in texts]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (null: none)."""
@@ -100,24 +83,11 @@ class Encoder:
             if t and any(s in t for s in self.specials):
                 odd[i] = True
         starts, ends = pieces(points, offsets, spaces=True)
-        hashes, first, back = np.unique(run_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        if len(self.at) > MEMO:
-            self.forget()
-        keys = hashes.tolist()
-        fresh = [k for k, key in enumerate(keys) if key not in self.at]
-        if fresh:
-            whole = points.tobytes().decode("utf-32-le")
-            at = first[fresh]
-            self._add([keys[k] for k in fresh], [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        slots = np.array([self.at[key] for key in keys], np.int64)
-        slot = slots[back]
-        sizes = self.size[slot]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.repeat(self.first[slot] - total[:-1], sizes) + np.arange(total[-1])]
+        flat, total = self.memo(points, starts, ends)
         cut = total[np.searchsorted(starts, offsets)]
         out = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         for i in np.flatnonzero(odd):
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.int32)
         return out
 
 

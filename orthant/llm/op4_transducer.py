@@ -10,28 +10,31 @@ exactly by rank.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
-import tempfile
 import uuid
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import ROWS, Scratch, list_column, table
 from .op10_packing import byte_alphabet
-from .segment import pieces, unsure
-from .textvec import code_points, run_hashes
+from .segment import IdMemo, pieces, unsure
+from .textvec import code_points, distinct_runs
 
-#: Words compiled into the automaton, the most frequent of the corpus.
-LEXICON = 65_536
+#: Words compiled into the automaton, the most frequent of the corpus of at most LONGEST characters.
+LEXICON, LONGEST = 65_536, 64
 #: Words remembered by a worker; beyond that it forgets all and goes on, with the same results.
 MEMO = 400_000
+#: Bytes of a word that is merged side by side with others; longer ones are merged alone.
+SHORT = 64
 _BLOCK = 1 << 20
 
 
@@ -44,21 +47,32 @@ class Merger:
         self.library = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
-        self.vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
+        self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         self.letter = {b: c for c, b in byte_alphabet().items()}
-        inner, outer = ([self.vocab.get(self.letter[b] + end, -1) for b in range(256)] for end in ("", self.suffix))
-        self.symbols = np.array([inner, outer])
-        pairs = [(self.vocab[a] << 32 | self.vocab[b], self.vocab[a + b], k) for (a, b), k in self.rank.items() if a in self.vocab and b in self.vocab and a + b in self.vocab]
-        self.bulk = len(pairs) == len(self.rank) and self.symbols.min() >= 0
-        self.pairs, self.merged, self.ranks = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True)) if pairs else (np.empty(0, np.int64),) * 3
+        # symbols: vocabulary ids, and numbers beyond them for strings that only merges know
+        number, beyond = dict(vocab), max(self.token, default=0) + 1
+        merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        strings = [self.letter[b] + end for end in ("", suffix) for b in range(256)] + [x for a, b in merges for x in (a, b, a + b)]
+        for x in strings:
+            number.setdefault(x, beyond + len(number))
+        self.known = set(vocab.values())
+        self.symbols = np.array([number[x] for x in strings[:512]]).reshape(2, 256)
+        pairs = {number[a] << 32 | number[b]: (k, number[a + b]) for k, (a, b) in enumerate(merges)}
+        self.rule = {key: k << 32 | made for key, (k, made) in pairs.items()}
+        self.pairs, self.merged, self.ranks = (np.array(x, np.int64) for x in zip(*sorted((key, made, k) for key, (k, made) in pairs.items()), strict=True)) if pairs else (np.empty(0, np.int64),) * 3
 
     def all_ids(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of many words: in each round, every word merges its pair of least rank."""
-        if not self.bulk or not words or not len(self.pairs):
-            return [self.ids(w.decode()) for w in words]
+        """The ids of many words: short ones side by side, long ones alone."""
+        short = [w for w in words if len(w) <= SHORT]
+        found = iter(self._side_by_side(short))
+        return [next(found) if len(w) <= SHORT else self.ids(w) for w in words]
+
+    def _side_by_side(self, words: list[bytes]) -> list[list[int]]:
+        """In each round, every word merges its pair of least rank."""
+        if not words or not len(self.pairs):
+            return [self.ids(w) for w in words]
         sizes = np.array([len(w) for w in words])
         flat = np.frombuffer(b"".join(words), np.uint8)
         last = np.zeros(len(flat), np.int64)
@@ -92,28 +106,43 @@ class Merger:
         order = np.argsort(word, kind="stable")
         symbol = symbol[order].tolist()
         cuts = np.searchsorted(word[order], np.arange(len(words) + 1)).tolist()
-        return [symbol[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def ids(self, word: str) -> list[int]:
-        """Merge the pair of least rank, the leftmost first, until none is left."""
-        parts = [self.letter[b] for b in word.encode()]
-        parts[-1] += self.suffix
-        while len(parts) > 1:
-            ranks = [self.rank.get(pair, 1 << 30) for pair in zip(parts, parts[1:], strict=False)]
-            low = min(ranks)
-            if low == 1 << 30:
-                break
-            k, merged = ranks.index(low), []
-            i = 0
-            while i < len(parts):
-                if i >= k and i < len(ranks) and ranks[i] == low:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return [self.vocab[p] for p in parts if p in self.vocab]
+        return [[i for i in symbol[a:b] if i in self.known] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def ids(self, word: bytes) -> list[int]:
+        """Merge the pair of least rank, the leftmost first, until none is left: a heap of pairs over a linked list, n log n in the word's length."""
+        n = len(word)
+        if not n:
+            return []
+        symbol = self.symbols[0, np.frombuffer(word, np.uint8)]
+        symbol[-1] = self.symbols[1, word[-1]]
+        symbol = symbol.tolist()
+        rule, right, left = self.rule.get, list(range(1, n + 1)), list(range(-1, n - 1))
+        # an entry is a rank and a place; it counts only while that rank is the place's
+        heap = [r >> 32 << 32 | i for i, r in enumerate(map(rule, map(lambda a, b: a << 32 | b, symbol, symbol[1:]))) if r is not None]
+        heapq.heapify(heap)
+        pop, push, mask = heapq.heappop, heapq.heappush, (1 << 32) - 1
+        while heap:
+            top = pop(heap)
+            i = top & mask
+            j = right[i]
+            if symbol[i] < 0 or j >= n:
+                continue
+            r = rule(symbol[i] << 32 | symbol[j])
+            if r is None or r >> 32 != top >> 32:
+                continue
+            symbol[i], symbol[j] = r & mask, -1
+            k = right[i] = right[j]
+            if k < n:
+                left[k] = i
+                r = rule(symbol[i] << 32 | symbol[k])
+                if r is not None:
+                    push(heap, r >> 32 << 32 | i)
+            k = left[i]
+            if k >= 0:
+                r = rule(symbol[k] << 32 | symbol[i])
+                if r is not None:
+                    push(heap, r >> 32 << 32 | k)
+        return [i for i in symbol if i in self.known]
 
 
 @lru_cache(2)
@@ -121,8 +150,8 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
-def compile_lexicon(words: dict[bytes, list[int]], to: str) -> None:
-    """Write the minimal acyclic automaton of the words, with their ids as outputs.
+def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
+    """The minimal acyclic automaton of the words, with their ids as outputs, as a file's content.
 
     Words come in sorted order; the states of a finished suffix are merged
     with equal ones. An edge holds how many words sort before it from its
@@ -163,18 +192,15 @@ def compile_lexicon(words: dict[bytes, list[int]], to: str) -> None:
         below.append(count)
     outputs = [words[w] for w in sorted(words)]
     arrays = [np.array([root]), np.array(keys), np.array(targets), np.array(skips), np.array([f for f, _ in done]), np.cumsum([0, *map(len, outputs)]), np.array([i for x in outputs for i in x])]
-    with open(to, "wb") as out:
-        np.array([len(arrays), *map(len, arrays)], "<i8").tofile(out)
-        for a in arrays:
-            a.astype("<i8").tofile(out)
+    return np.concatenate([[len(arrays)], [len(a) for a in arrays], *arrays]).astype("<i4").tobytes()
 
 
 class Lexicon:
     """A compiled lexicon, mapped into memory."""
 
     def __init__(self, path: str) -> None:
-        flat = np.memmap(path, "<i8", "r")
-        sizes = flat[1 : 1 + int(flat[0])]
+        flat = np.memmap(path, "<i4", "r")
+        sizes = flat[1 : 1 + int(flat[0])].astype(np.int64)
         cuts = np.cumsum([1 + len(sizes), *sizes])
         root, self.keys, self.targets, self.skips, self.final, self.offsets, self.ids = (flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
         self.root = int(root[0])
@@ -194,7 +220,7 @@ class Lexicon:
             live = live[~over]
             if not len(live) or not len(self.keys):
                 break
-            key = state[live] << 8 | flat[starts[live] + step]
+            key = state[live] << 8 | flat[starts[live] + step].astype(np.int64)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             live, at = live[hit], at[hit]
@@ -217,7 +243,7 @@ def _normal(texts: list[str | None], library) -> list[str]:
     return out
 
 
-def _words(texts: list[str], library):
+def _words(texts: list[str]):
     """For blocks of normal texts: first text, points, starts and ends of words, offsets of texts."""
     lo = 0
     while lo < len(texts):
@@ -231,29 +257,28 @@ def _words(texts: list[str], library):
 
 
 def count_words(docs: DataFrame, path: str) -> DataFrame:
-    """word, n over all documents: counted per task, then summed."""
+    """word, n over all documents: counted per task, then summed. Words of more than LONGEST characters are no candidates for the lexicon and left out."""
 
     def run(batches):
-        library, counts, names = merger(path).library, {}, {}
+        library, counts = merger(path).library, {}
 
         def told():
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(names.values()), pa.string()), "n": pa.array([counts[k] for k in names], pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
         for batch in batches:
-            for _, points, starts, ends, _ in _words(_normal(batch.column("text").to_pylist(), library), library):
-                keys, first, n = np.unique(run_hashes(points, starts, ends), return_index=True, return_counts=True)
+            for _, points, starts, ends, _ in _words(_normal(batch.column("text").to_pylist(), library)):
+                short = ends - starts <= LONGEST
+                starts, ends = starts[short], ends[short]
+                first, back = distinct_runs(points, starts, ends)
                 whole = points.tobytes().decode("utf-32-le")
-                a, b = starts[first].tolist(), ends[first].tolist()
-                for k, (key, c) in enumerate(zip(keys.tolist(), n.tolist(), strict=True)):
-                    if key in counts:
-                        counts[key] += c
-                    else:
-                        counts[key], names[key] = c, whole[a[k] : b[k]]
+                for a, b, n in zip(starts[first].tolist(), ends[first].tolist(), np.bincount(back, minlength=len(first)).tolist(), strict=True):
+                    word = whole[a:b]
+                    counts[word] = counts.get(word, 0) + n
             if len(counts) > MEMO:
-                yield from told()
-                counts, names = {}, {}
+                yield told()
+                counts = {}
         if counts:
-            yield from told()
+            yield told()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -277,13 +302,12 @@ def frequent(words: DataFrame, size: int) -> list[str]:
 
 
 def build(docs: DataFrame, path: str, size: int = LEXICON) -> str:
-    """Compile the most frequent words of all documents; returns the name under which executors find the file."""
+    """Compile the most frequent words of all documents into a file of the shared folder; returns the name under which executors find their copy."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "words")
-    words = [w.encode() for w in frequent(scratch.save(count_words(docs, path).where(F.length("word") <= 64), "counts"), size)]
+    words = [w.encode() for w in frequent(scratch.save(count_words(docs, path), "counts"), size)]
     scratch.drop("counts")
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    at = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)  # on the driver; executors fetch it from there
-    compile_lexicon(dict(zip(words, merger(path).all_ids(words), strict=True)), at)
+    at = scratch.put(compile_lexicon(dict(zip(words, merger(path).all_ids(words), strict=True))), name)
     spark.sparkContext.addFile(at)
     return name
 
@@ -293,55 +317,64 @@ def lexicon(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
+class Strings:
+    """Joins strings, one for each id, with a blank between; unknown ids are left out."""
+
+    def __init__(self, names: dict[int, str]) -> None:
+        raw = [names[i].encode() + b" " if i in names else b"" for i in range(max(names, default=-1) + 1)]
+        self.size = np.array([len(x) for x in raw] + [0], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+
+    def __call__(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """The joined strings of each range ids[cuts[i]:cuts[i + 1]]."""
+        ids = np.where((ids >= 0) & (ids < len(self.size) - 1), ids, -1)
+        sizes = self.size[ids]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        said = self.flat[np.repeat(self.first[ids] - total[:-1], sizes) + np.arange(total[-1])].tobytes()
+        at = total[cuts].tolist()
+        return [said[a : b - 1] if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+@lru_cache(2)
+def tokens_of(path: str) -> Strings:
+    return Strings(merger(path).token)
+
+
+@lru_cache(2)
+def decimals_of(path: str) -> Strings:
+    return Strings({i: str(i) for i in merger(path).token})
+
+
 class Coder:
     """Encodes texts with a lexicon and exact merges; remembers what it has seen."""
 
     def __init__(self, words: Lexicon, merge: Merger) -> None:
         self.words, self.merge = words, merge
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[int, int] = {}
-        self.found: list[tuple[int, str, str]] = []
+        self.memo = IdMemo(self._find, MEMO)
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.merge.token.__getitem__, ids))
+    def _find(self, names: list[str]) -> list[list[int]]:
+        raw = [n.encode() for n in names]
+        numbers = self.words.find(raw).tolist()
+        merged = iter(self.merge.all_ids([r for r, number in zip(raw, numbers, strict=True) if number < 0]))
+        return [self.words.output(number) if number >= 0 else next(merged) for number in numbers]
 
     def __call__(self, texts: list[str | None]):
-        """Of each text: how many ids, the ids and the tokens, both joined by blanks."""
+        """For blocks of texts: all ids in order, and where each text's begin (and the last one's end)."""
         merge = self.merge
-        counts, said, shown = [], [], []
         special = {i for i, t in enumerate(texts) if t and any(s in t for s in merge.specials)}
         plain = _normal(["" if i in special else t for i, t in enumerate(texts)], merge.library)
-        for lo, points, starts, ends, offsets in _words(plain, merge.library):
-            keys, first, back = np.unique(run_hashes(points, starts, ends), return_index=True, return_inverse=True)
-            if len(self.at) > MEMO:
-                self.forget()
-            keys = keys.tolist()
-            fresh = [k for k, key in enumerate(keys) if key not in self.at]
-            if fresh:
-                whole, at = points.tobytes().decode("utf-32-le"), first[fresh]
-                names = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                raw = [n.encode() for n in names]
-                numbers = self.words.find(raw).tolist()
-                merged = iter(merge.all_ids([r for r, number in zip(raw, numbers, strict=True) if number < 0]))
-                for k, number in zip(fresh, numbers, strict=True):
-                    self.at[keys[k]] = len(self.found)
-                    self.found.append(self._entry(self.words.output(number) if number >= 0 else next(merged)))
-            own = [self.found[self.at[key]] for key in keys]
-            sizes, ids, tokens = (np.array([x[j] for x in own], kind) for j, kind in ((0, np.int64), (1, object), (2, object)))
-            full = np.concatenate([[0], np.cumsum(sizes[back])])
-            ids, tokens = ids[back].tolist(), tokens[back].tolist()
-            cut = np.searchsorted(starts, offsets)
+        for lo, points, starts, ends, offsets in _words(plain):
+            ids, total = self.memo(points, starts, ends)
+            cuts = total[np.searchsorted(starts, offsets)]
             odd = unsure(points, offsets)
-            cuts = cut.tolist()
-            for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if lo + i in special or odd[i]:  # the library cuts what it may class otherwise
-                    n, x, y = self._entry(self._apart(texts[lo + i]))
-                    counts.append(n), said.append(x), shown.append(y)
-                else:
-                    counts.append(int(full[b] - full[a])), said.append(" ".join(ids[a:b])), shown.append(" ".join(tokens[a:b]))
-        return counts, said, shown
+            apart = [i for i in range(len(offsets) - 1) if lo + i in special or odd[i]]  # the library cuts what it may class otherwise
+            if apart:
+                parts = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                for i in apart:
+                    parts[i] = np.array(self._apart(texts[lo + i]), np.int32)
+                ids, cuts = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            yield ids, cuts
 
     def _apart(self, text: str) -> list[int]:
         """Ids of a text whose special tokens or rare characters need the library's own cuts; words still come from the lexicon."""
@@ -349,16 +382,19 @@ class Coder:
         rest = [text]
         for s in self.merge.specials:
             rest = [y for x in rest for y in (self._split(x, s) if isinstance(x, str) else [x])]
+        byte = {c: b for b, c in self.merge.letter.items()}
         for part in rest:
             if isinstance(part, int):
                 out.append(part)
                 continue
-            for word, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part)):
-                raw = bytes({c: b for b, c in self.merge.letter.items()}[c] for c in word)
-                number = int(self.words.find([raw])[0])
-                out += self.words.output(number) if number >= 0 else self.merge.ids(raw.decode())
+            words = [bytes(byte[c] for c in word) for word, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))]
+            out += [i for found in self._found(words) for i in found]
         return out
 
+    def _found(self, raw: list[bytes]) -> list[list[int]]:
+        numbers = self.words.find(raw).tolist()
+        return [self.words.output(number) if number >= 0 else self.merge.ids(word) for word, number in zip(raw, numbers, strict=True)]
+
     def _split(self, text: str, special: str) -> list:
         parts = text.split(special)
         out: list = [parts[0]]
@@ -387,16 +423,21 @@ def transcode(docs: DataFrame, path: str | None = None, digests: bool = False, s
             _coders.clear()
             _coders[name, path] = Coder(lexicon(name), merger(path))
         coder = _coders[name, path]
+        say, spell = decimals_of(path), tokens_of(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                counts, ids, tokens = coder(part.column("text").to_pylist())
-                out = {"doc_id": part.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64())}
-                if digests:
-                    out |= {k: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in v], pa.string()) for k, v in (("ids_sha256", ids), ("decoded_sha256", tokens))}
-                else:
-                    out |= {"ids": pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())), "decoded": pa.array(tokens, pa.string())}
-                yield pa.RecordBatch.from_pydict(out)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                at = 0
+                for ids, cuts in coder(part.column("text").to_pylist()):
+                    n = len(cuts) - 1
+                    out = {"doc_id": part.column("doc_id").slice(at, n).cast(pa.int64()), "n_tokens": pa.array(np.diff(cuts), pa.int64())}
+                    decoded = spell(ids, cuts)
+                    if digests:
+                        out |= {k: pa.array([hashlib.sha256(x).hexdigest() for x in v], pa.string()) for k, v in (("ids_sha256", say(ids, cuts)), ("decoded_sha256", decoded))}
+                    else:
+                        out |= {"ids": list_column(ids, cuts, pa.int32()), "decoded": pa.array([x.decode() for x in decoded], pa.string())}
+                    yield pa.RecordBatch.from_pydict(out)
+                    at += n
 
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, {kinds}")
@@ -407,10 +448,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches):
-        token = merger(path).token
+        spell = tokens_of(path)
         for batch in batches:
-            text = [" ".join(token[i] for i in x or () if i in token) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "decoded": pa.array(text, pa.string())})
+            lists = batch.column("ids")
+            cuts = np.concatenate([[0], np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "decoded": pa.array([x.decode() for x in spell(ids, cuts)], pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
 

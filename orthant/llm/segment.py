@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-from .textvec import LETTER, NUMBER, OTHER, SPACE, char_classes
+from .textvec import LETTER, NUMBER, OTHER, SPACE, char_classes, distinct_runs
 
 #: Class of characters that libraries may class differently: not assigned here, or letters and numbers of the supplementary planes.
 UNSURE = 4
@@ -70,3 +71,51 @@ def pieces(points: np.ndarray, offsets: np.ndarray, spaces: bool) -> tuple[np.nd
         solid = kinds[at] != SPACE
         at, ends = at[solid], ends[solid]
     return at, ends
+
+
+class IdMemo:
+    """Ids of pieces, found once for each distinct piece: kept by the piece itself, so that no other piece can take its ids.
+
+    find: the ids of each of a list of pieces. Beyond `most` pieces, or that
+    many times 16 characters, all is forgotten and found anew.
+    """
+
+    def __init__(self, find: Callable[[list[str]], list[list[int]]], most: int) -> None:
+        self.find, self.most = find, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.characters = 0
+        self.ids, self.used = np.empty(1 << 16, np.int32), 0
+        self.first, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+
+    def _add(self, names: list[str]) -> None:
+        found = self.find(names)
+        sizes = np.array([len(x) for x in found], np.int64)
+        new, slot = np.array([i for x in found for i in x], np.int32), len(self.at)
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while slot + len(names) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.size))
+        self.ids[self.used : self.used + len(new)] = new
+        self.first[slot : slot + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.size[slot : slot + len(names)] = sizes
+        self.used += len(new)
+        self.characters += sum(map(len, names))
+        self.at.update(zip(names, range(slot, slot + len(names)), strict=True))
+
+    def __call__(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in order, and where each piece's begin there (and the last one's end)."""
+        first, back = distinct_runs(points, starts, ends)
+        whole = points.tobytes().decode("utf-32-le")
+        names = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.at) > self.most or self.characters > 16 * self.most:
+            self.forget()
+        fresh = [n for n in names if n not in self.at]
+        if fresh:
+            self._add(fresh)
+        slot = np.array([self.at[n] for n in names], np.int64)[back]
+        sizes = self.size[slot]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(self.first[slot] - total[:-1], sizes) + np.arange(total[-1])], total

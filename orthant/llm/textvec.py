@@ -2,13 +2,13 @@
 
 A batch of texts is handled as one flat array of bytes or code points plus
 document offsets, so the cost per character is a few numpy operations and no
-Python object is made per word. The hash of a run is polynomial modulo 2**64,
-taken from prefix sums, and then mixed; two different runs share a hash with a
-probability of about 2**-64.
+Python object is made per word. A hash only groups runs: `distinct_runs`
+compares what it groups, so its result is exact whatever collides.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,18 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15
-_powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    have = _powers[which]
-    if len(have) < n:
-        factor = BASE if which == "up" else pow(BASE, -1, 1 << 64)
-        steps = np.full(max(n, 1 << 16), U(factor))
-        steps[0] = U(1)
-        have = _powers[which] = np.multiply.accumulate(steps)
-    return have[:n]
+#: Bytes of a run that are mixed eight at a time; longer runs go through BLAKE2b.
+LONG = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,17 +32,64 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each run flat[start:end]; equal runs hash alike wherever they stand."""
-    sums = np.zeros(len(flat) + 1, U)
-    np.cumsum((flat.astype(U) + U(1)) * _power("up", len(flat)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power("down", len(flat) + 1)[starts]
-    return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-
-
-def string_hash(text: str) -> int:
-    """run_hashes of one whole string's bytes."""
-    b = np.frombuffer(text.encode(), np.uint8)
-    return int(run_hashes(b, np.array([0]), np.array([len(b)]))[0])
+    """Hash of each run flat[start:end]; equal runs of one element type hash alike wherever they stand.
+
+    Eight bytes a step are mixed into the hashes of all runs that go on, with
+    the length as the seed; a polynomial would let structured runs collide.
+    """
+    unit = flat.itemsize
+    raw = np.concatenate([np.ascontiguousarray(flat).view(np.uint8), np.zeros(8, np.uint8)])
+    loads = np.lib.stride_tricks.as_strided(raw[:8].view(U), (len(raw) - 7,), (1,)).copy()  # the eight bytes from each on
+    at, left = starts * unit, (ends - starts) * unit
+    h = mix(left.astype(U) * U(0xD6E8FEB86659FD93) + U(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(left > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[at[i] : at[i] + left[i]].tobytes(), digest_size=8).digest(), "little")
+    live = np.flatnonzero((left > 0) & (left <= LONG))
+    at, left = at[live], left[live]
+    while len(live):
+        keep = np.minimum(left, 8).astype(U) * U(8)
+        h[live] = mix(h[live] ^ (loads[at] & (~U(0) >> (U(64) - keep))))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def differing(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Places of the runs that are not equal to the run at the place `like` names for each."""
+    sizes = ends - starts
+    wrong = sizes != sizes[like]
+    rows = np.flatnonzero(~wrong & (like != np.arange(len(like))) & (sizes > 0))
+    # up to a few million characters at a time
+    cuts = np.cumsum(sizes[rows])
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(cuts, (cuts[lo - 1] if lo else 0) + (1 << 21), "right")))
+        part = rows[lo:hi]
+        size = sizes[part]
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        unequal = flat[np.repeat(starts[part] - first, size) + step] != flat[np.repeat(starts[like[part]] - first, size) + step]
+        if unequal.any():
+            wrong[part[np.logical_or.reduceat(unequal, first)]] = True
+        lo = hi
+    return np.flatnonzero(wrong)
+
+
+def distinct_runs(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct run, and for every run the number of its equal among these."""
+    _, first, back = np.unique(run_hashes(flat, starts, ends), return_index=True, return_inverse=True)
+    odd = differing(flat, starts, ends, first[back])
+    if len(odd):  # a collision of hashes: these few are told apart by their content
+        names: dict[bytes, int] = {}
+        more = []
+        for i in odd.tolist():
+            name = flat[starts[i] : ends[i]].tobytes()
+            if name not in names:
+                names[name] = len(first) + len(more)
+                more.append(i)
+            back[i] = names[name]
+        first = np.concatenate([first, np.array(more)])
+    return first, back
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
