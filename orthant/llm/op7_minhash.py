@@ -1,31 +1,39 @@
 """Near-duplicate documents: an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
 1. One pass over the texts gives each document its number of shingles, a
-   128-bit fingerprint of its shingle set and a signature of 96 minima.
-   Documents with equal sets become one class.
+   128-bit BLAKE2b digest of its words in order and a signature of 96 minima.
+   Documents with equal digests become one class.
 2. TREES keys of DEPTH minima each are the forest. All documents that agree on
    a key are a region, and what may reach the threshold (less MARGIN) in it is
    joined loosely: up to REGION documents by all pairs, more in blocks, each
    pair of which is searched until everything joined is reached.
-3. Every loosely joined group is confirmed on the full sets of its members, in
-   tiles of bounded size, so that no link within a group is lost.
+3. Loosely joined groups are confirmed on the texts of their members, whose
+   words and shingles are numbered exactly, without hashes. A group is dealt to
+   tiles of bounded size; within a tile all pairs are compared. What a tile's
+   confirmed links join is then stood for by one member, and these are compared
+   in tiles again, as long as that joins more. At last, members of a group
+   that are still apart are compared in pairs of tiles, so that no link within
+   a group is lost; pairs that are joined already are not read again.
 4. Connected components of the confirmed links give the result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, list_column, sorted_groups, table
 from .components import SCHEMA, components, forest
-from .textvec import blocks, byte_tables, mix, run_hashes, runs, utf8
+from .textvec import blocks, byte_tables, distinct_runs, mix, run_hashes, runs, utf8
 
 HASHES, TREES, DEPTH = 96, 16, 4
-#: Documents compared with each other at once in a region of an order, and in a tile of a loose group.
-REGION, TILE = 256, 128
+#: Documents compared with each other at once in a region of an order, and in a tile of a loose group; bytes of such a tile.
+REGION, TILE, TILE_BYTES = 256, 128, 1 << 22
 #: Documents of a larger region that meet those of another block in one group, and how many are searched from at once.
 BLOCK, AT_ONCE = 1024, 64
 #: How far an estimate from 96 minima may fall below the threshold (four standard errors).
@@ -36,7 +44,7 @@ _B = _rng.integers(0, 1 << 32, HASHES, np.uint32)
 
 
 def shingle_sets(column: pa.Array, words: int):
-    """For blocks of documents: first document, the hashes of each one's distinct shingles in ascending order, and their offsets.
+    """For blocks of documents: first document, the hashes of each one's distinct shingles in ascending order, their offsets, and digests of the words.
 
     Words are runs of characters other than blanks (0x20, 0x09-0x0D) after
     A-Z became lower case. A document with fewer words has its whole sequence
@@ -65,64 +73,49 @@ def shingle_sets(column: pa.Array, words: int):
                 sets.append(s[np.append(True, s[1:] != s[:-1])])
             else:
                 sets.append(np.array([short[i]], np.uint64) if n else np.empty(0, np.uint64))
-        yield lo, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64), pa.int64())
+        # the words of each document with one blank between
+        keep = t["solid"][flat]
+        gaps = ends[:-1][np.searchsorted(offs, starts[:-1], "right") == np.searchsorted(offs, starts[1:], "right")]
+        keep[gaps] = True
+        plain = flat[keep].copy()
+        cuts = np.concatenate([[0], np.cumsum(keep)])
+        plain[cuts[gaps]] = 32
+        cuts, raw = cuts[offs].tolist(), plain.tobytes()
+        digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        yield lo, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (of the set) and sig (HASHES 16-bit minima, four to a number); the last three null without shingles."""
+    """doc_id, n_shingles, size (bytes), f1, f2 (digest of the words) and sig (HASHES 16-bit minima, four to a number); the last three null without shingles."""
 
     def run(batches):
         for batch in batches:
-            for lo, sets, offs in shingle_sets(batch.column("text"), words):
+            length = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            for lo, sets, offs, digests in shingle_sets(batch.column("text"), words):
                 sizes = np.diff(offs)
                 full = np.flatnonzero(sizes)
                 first = offs[:-1][full]
                 sig = np.empty((len(full), HASHES), np.uint16)
-                f1, f2 = np.zeros(len(full), np.uint64), np.zeros(len(full), np.uint64)
+                f1, f2 = digests[full].T
                 if len(full):
                     narrow = (sets >> np.uint64(32)).astype(np.uint32)
                     for k in range(HASHES):
                         low = np.minimum.reduceat(narrow * _A[k] + _B[k], first)
                         sig[:, k] = (low * np.uint32(0x9E3779B1)) >> np.uint32(16)
-                    f1, f2 = np.add.reduceat(sets, first), np.bitwise_xor.reduceat(mix(sets + np.uint64(1)), first)
                 place = np.full(len(sizes), -1)
                 place[full] = np.arange(len(full))
                 take = pa.array(place, mask=place < 0)
                 longs = list_column(sig.view(np.int64).ravel(), np.arange(len(full) + 1) * (HASHES // 4), pa.int64())
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, len(sizes)).cast(pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "f1": _signed(f1).take(take), "f2": _signed(f2).take(take), "sig": longs.take(take)})
+                out = {"doc_id": batch.column("doc_id").slice(lo, len(sizes)).cast(pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "size": length.slice(lo, len(sizes))}
+                yield pa.RecordBatch.from_pydict(out | {"f1": pa.array(np.ascontiguousarray(f1)).take(take), "f2": pa.array(np.ascontiguousarray(f2)).take(take), "sig": longs.take(take)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, size long, f1 long, f2 long, sig array<long>")
 
 
 def _flat(column: pa.ChunkedArray, kind) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).view(kind)
 
 
-def _regions(k2: np.ndarray, lo: int, hi: int, depth: int):
-    """Ranges of at most REGION rows with equal deeper prefixes; at full depth, overlapping ranges.
-
-    Such ranges don't hold all pairs, so `loose_links` doesn't use them.
-    """
-    if hi - lo <= REGION:
-        yield lo, hi
-    elif depth == 4:
-        for a in range(lo, hi, REGION // 2):
-            yield a, min(a + REGION, hi)
-            if a + REGION >= hi:
-                break
-    else:
-        part = k2[lo:hi] >> (16 * (3 - depth))
-        cuts = [lo, *(np.flatnonzero(part[1:] != part[:-1]) + lo + 1).tolist(), hi]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield from _regions(k2, a, b, depth + 1)
-            if b < hi:  # neighbours of the longest common prefix on both sides of a cut
-                yield b - 1, b + 1
-
-
 def _loose(sig: np.ndarray, sizes: np.ndarray, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i < j) whose sizes allow the threshold and whose estimate is at least `least`."""
     n = len(sig)
@@ -230,47 +223,110 @@ def _confirm(sets: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.nonzero(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None] - common), 1))
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b), as forests of tiles, that connect the members of each group whose full sets reach the threshold.
-
-    groups: id, component. A group of more than TILE members is split by a
-    hash into tiles, and each pair of its tiles is compared.
-    """
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    # the smallest member of a group is not among its ids
-    members = groups.union(sizes.select("component", "component")).join(sizes.select("component", F.ceil((F.col("n") + 1) / TILE).cast("int").alias("tiles")), "component")
-    members = scratch.save(members.select(F.col("id").alias("doc_id"), "component", "tiles", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile")), "members")
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(members, "doc_id")
-
-    def sets_of(batches):
-        for batch in batches:
-            for lo, sets, offs in shingle_sets(batch.column("text"), words):
-                part = batch.slice(lo, len(offs) - 1)
-                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in ("doc_id", "component", "tiles", "tile")} | {"sets": list_column(sets.view(np.int64), offs, pa.int64())})
-
-    rows = texts.select("doc_id", "component", "tiles", "tile", "text").mapInArrow(sets_of, "doc_id long, component long, tiles int, tile int, sets array<long>")
-    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("tiles") - 1), F.array("tile"))))
-    rows = rows.withColumn("other", other).select("component", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "doc_id", "sets")
-    rows = rows.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "doc_id")
+def exact_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of each text's distinct shingles, equal for equal shingles only, in ascending order, and their offsets."""
+    t, (data, offs) = byte_tables(), utf8(column)
+    flat = t["lower"][data]
+    starts, ends = runs(t["solid"][flat], offs)
+    word = distinct_runs(flat, starts, ends)[1].astype(np.int64)
+    doc, n = np.searchsorted(offs, starts, "right") - 1, len(offs) - 1
+    count = np.bincount(doc, minlength=n)
+    last = np.cumsum(count)[doc]  # place after the last word of the same text
+    place, code = np.arange(len(word)), word
+    different = int(word.max(initial=-1)) + 1
+    for k in range(1, words):  # the number of a run of k + 1 words, from that of its first k and its last word
+        on = place + k < last[place]
+        place, code = place[on], np.unique(code[on] * different + word[place[on] + k], return_inverse=True)[1].astype(np.int64)
+    owner = doc[place]
+    if words > 1:
+        names: dict[bytes, int] = {}
+        few = np.flatnonzero((count > 0) & (count < words))  # the whole text is one shingle
+        first = np.cumsum(count) - count
+        extra = [-1 - names.setdefault(word[first[i] : first[i] + count[i]].tobytes(), len(names)) for i in few.tolist()]
+        owner, code = np.concatenate([owner, few]), np.concatenate([code, np.array(extra, np.int64)])
+    order = np.lexsort((code, owner))
+    owner, code = owner[order], code[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+    return code[new], np.searchsorted(owner[new], np.arange(n + 1))
+
+
+def _compared(rows: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
+    """Links (a, b), as forests, that connect what all pairs within each group of rows link; rows: the keys, doc_id, root, text. Pairs of one root are not links."""
 
     def run(batches):
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for group in sorted_groups(batches, ["component", "x", "y"]):
-            lists = group.column("sets").combine_chunks()
-            offs = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            i, j = _confirm(_flat(group.column("sets"), np.uint64), offs, percent)
-            if len(i):
+
+        def told():
+            return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k, c in enumerate("ab")})
+
+        for group in sorted_groups(batches, keys):
+            root = group.column("root").to_numpy()
+            if len(root) < 2 or (root == root[0]).all():
+                continue
+            i, j = _confirm(*exact_sets(group.column("text"), words), percent)
+            apart = root[i] != root[j]
+            if apart.any():
                 ids = group.column("doc_id").to_numpy()
-                out.append(forest(ids[i], ids[j]))
+                out.append(forest(ids[i[apart]], ids[j[apart]]))
             if len(out) == 1000:
-                yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k, c in enumerate("ab")})
+                yield told()
                 out = []
         if out:
-            yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k, c in enumerate("ab")})
+            yield told()
 
+    rows = rows.select(*keys, "doc_id", "root", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
     return rows.mapInArrow(run, SCHEMA)
 
 
+def _tiles(n, size):
+    """How many tiles hold so many rows of so many bytes."""
+    return F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_BYTES)).cast("int")
+
+
+def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect the members of each group whose full sets reach the threshold; groups: doc_id, grp, size."""
+    tile = lambda tiles, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), tiles).cast("int")
+    sizes = groups.groupBy("grp").agg(_tiles(F.count("*"), F.sum("size")).alias("tiles"))
+    members = groups.join(sizes, "grp").select("doc_id", "grp", "size", "tiles", tile(F.col("tiles"), 0).alias("tile"))
+    texts = scratch.save(docs.where("doc_id is not null").select("doc_id", "text").join(members, "doc_id"), "texts")
+    links = scratch.save(_compared(texts.withColumn("root", F.col("doc_id")), ["grp", "tile"], words, percent), "links-0")
+    big = texts.where("tiles > 1")
+    if not big.limit(1).count():
+        return links
+    had, step = None, 0
+    while True:
+        # one document stands for all that is joined so far
+        step += 1
+        parts = components(links, scratch, f"tile-parts-{step}")
+        named = big.join(parts, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("component", "doc_id")).drop("id", "component")
+        roots = scratch.save(named.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max(F.when(F.col("doc_id") == F.col("root"), F.col("size"))).alias("size")), f"roots-{step}")
+        open_ = roots.groupBy("grp").agg(F.count("*").alias("m"), _tiles(F.count("*"), F.sum("size")).alias("tiles")).where("m > 1")
+        left = open_.agg(F.sum("m")).first()[0]
+        if not left:
+            return links
+        if had is not None and left > 0.7 * had:
+            break
+        had = left
+        reps = roots.join(open_, "grp").select("grp", F.col("root").alias("doc_id"), "tiles")
+        reps = big.select("doc_id", "text").join(reps, "doc_id").withColumn("root", F.col("doc_id")).withColumn("tile", tile(F.col("tiles"), step))
+        links = scratch.save(links.union(_compared(reps, ["grp", "tile"], words, percent)), f"links-{step}")
+    # a root with many members has tiles of its own, the others share the first ones; two tiles of one root are not compared
+    own = roots.join(open_.select("grp"), "grp", "left_semi").withColumn("own", F.when((F.col("n") >= TILE) | (F.col("bytes") >= TILE_BYTES), _tiles(F.col("n"), F.col("bytes"))))
+    shared = own.groupBy("grp").agg(F.coalesce(_tiles(F.sum(F.when(F.col("own").isNull(), F.col("n"))), F.sum(F.when(F.col("own").isNull(), F.col("bytes")))), F.lit(0)).alias("shared"), F.sum("own").alias("owned"))
+    before = Window.partitionBy("grp").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    alone = own.where("own is not null").join(shared, "grp").withColumn("begin", (F.col("shared") + F.coalesce(F.sum("own").over(before), F.lit(0))).cast("int"))
+    total = (F.col("shared") + F.coalesce("owned", F.lit(0))).cast("int").alias("total")
+    alone = alone.select("grp", "root", "begin", (F.col("begin") + F.col("own")).cast("int").alias("stop"), total, F.col("begin").alias("below"))
+    rest = own.where("own is null").join(shared, "grp").select("grp", "root", F.lit(0).alias("begin"), F.col("shared").alias("stop"), total, F.col("shared").alias("below"))
+    rows = named.join(alone.unionByName(rest).withColumnsRenamed({"grp": "g", "root": "r"}), (F.col("grp") == F.col("g")) & (F.col("root") == F.col("r")))
+    rows = rows.withColumn("tile", F.col("begin") + tile(F.col("stop") - F.col("begin"), -1))
+    upto = lambda a, b: F.filter(F.sequence(a, b), lambda i: i < b)
+    others = F.concat(upto(F.lit(0), F.col("below")), upto(F.col("stop"), F.col("total")))
+    rows = rows.withColumn("other", F.explode(others)).withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other")})
+    return links.union(scratch.save(_compared(rows, ["grp", "x", "y"], words, percent), "links-rest"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row.
 
@@ -282,11 +338,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     every = scratch.save(signatures(docs, words), "signatures")
-    first = F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r")
+    first = F.min(F.struct("doc_id", "n_shingles", "size", "sig")).alias("r")
     classes = every.where("doc_id is not null and n_shingles > 0").groupBy("f1", "f2").agg(first)
-    classes = scratch.save(classes.select("f1", "f2", "r.doc_id", "r.n_shingles", "r.sig"), "classes")
+    classes = scratch.save(classes.select("f1", "f2", "r.doc_id", "r.n_shingles", "r.size", "r.sig"), "classes")
     loose = components(scratch.save(loose_links(classes, percent), "loose"), scratch, "loose-parts")
-    links = scratch.save(confirmed_links(docs, loose, words, percent, scratch), "links")
+    # the smallest member of a group is not among the ids of `loose`
+    groups = loose.withColumnRenamed("component", "grp").union(loose.select("component", "component").distinct())
+    groups = classes.select("doc_id", "size").join(groups, F.col("doc_id") == F.col("id")).groupBy("doc_id", "grp").agg(F.max("size").alias("size"))
+    links = confirmed_links(docs, groups, words, percent, scratch)
     ids = every.where("doc_id is not null and n_shingles > 0").select("f1", "f2", "doc_id")
     # equal ids with different texts tie their classes together
     same = ids.groupBy("doc_id").agg(F.count_distinct("f1", "f2").alias("n")).where("n > 1").select("doc_id")

@@ -95,6 +95,62 @@ def test_near_duplicate_documents(words, percent, spark, monkeypatch):
     assert all(got[i]["kept"] == (want[i] == i) for i in range(len(texts)))
 
 
+def families(rng):
+    """Texts of groups far larger than a tile: near copies of one text, and texts that share boilerplate but are no copies but for a few pairs."""
+    vocabulary = [f"v{i}" for i in range(900)]
+    base = [rng.choice(vocabulary) for _ in range(80)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        copy[rng.randrange(80)] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+    shared = [rng.choice(vocabulary) for _ in range(80)]
+    own = [[rng.choice(vocabulary) for _ in range(26)] for _ in range(120)]
+    for k in (20, 40, 60):
+        own[k] = [*own[k + 1][:-1], "x"]
+    texts += [" ".join(shared + x) for x in own]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("budget", [(8, 1 << 22), (128, 4000)])
+def test_large_groups(spark, monkeypatch, budget):
+    monkeypatch.setattr(op7, "TILE", budget[0])
+    monkeypatch.setattr(op7, "TILE_BYTES", budget[1])
+    monkeypatch.setattr(op7, "MARGIN", 0.45)  # boilerplate joins loosely
+    texts = families(random.Random(3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in op7.near_duplicates(docs, 3, 85).collect()}
+    want = brute_documents(texts, 3, 85)[1]
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want)) == 118
+
+
+def test_exact_sets():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) for _ in range(200)] + [None, "A b\tc", "a  b c"]
+    for words in (1, 3, 5):
+        sets, offs = op7.exact_sets(pa.array(texts), words)
+        own = [frozenset(sets[a:b].tolist()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        plain = []
+        for t in texts:
+            w = (t or "").lower().split()
+            plain.append(frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []))
+        for i in range(0, len(texts), 7):
+            assert [len(own[i] & x) for x in own] == [len(plain[i] & x) for x in plain]
+
+
+def test_structured_documents(spark):
+    from .test_text_operators import STRUCTURED
+
+    texts = [f"{x} {y} end {x}" for x in STRUCTURED for y in STRUCTURED] + [f"{STRUCTURED[0]} {STRUCTURED[1]}  END {STRUCTURED[0]}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op7.near_duplicates(docs, 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == list(zip(*brute_documents(texts, 3, 85), strict=True))
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (3, "x y z u v w"), (3, "p q r s t u"), (4, "p q r s t u"), (5, "x y z u v w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -105,14 +161,6 @@ def test_repeated_and_null_ids(spark):
     assert op7.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_regions_are_split_without_loss_of_order():
-    k2 = np.repeat(np.arange(40) << 48, 30)
-    cuts = list(op7._regions(k2, 0, len(k2), 0))
-    assert all(b - a <= op7.REGION for a, b in cuts) and set().union(*(range(a, b) for a, b in cuts)) == set(range(len(k2)))
-    same = list(op7._regions(np.zeros(1000, np.int64), 0, 1000, 0))
-    assert same[-1][1] == 1000 and all(x[1] > y[0] for x, y in zip(same, same[1:], strict=False))
-
-
 def test_pairs_of_a_large_region_are_found_wherever_their_ids_are(spark):
     rng = np.random.default_rng(7)
     sig = rng.integers(0, 1 << 16, (3000, op7.HASHES)).astype(np.uint16)
