@@ -296,46 +296,107 @@ def test_failed_search_is_finished_exactly(spark, monkeypatch):
 
 def test_vectors_without_rows_or_ids(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert op8.near_duplicates(empty).count() == 0 and op6.search(empty, empty).count() == 0
+    assert op8.near_duplicates(empty).count() == 0 and op6.search(empty, F.lit(True)).count() == 0
     one = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in op8.near_duplicates(one).collect()} == {(None, 0, None, True), (4, 0, 4, True)}
-    assert op6.search(one, one).count() == 0  # the only other row has no id
+    assert op6.search(one, F.lit(True)).count() == 0  # the only other row has no id
+
+
+def exact_neighbours(rows, asked, k=10):
+    """{query row: [(distance, vec_id)]} of the k nearest, by all pairs; rows: (vec_id, vector)."""
+    out = {}
+    for i, (name, q) in enumerate(rows):
+        if asked(name) and usable(q):
+            near = [(float(np.sqrt(((np.array(v, float) - np.array(q, float)) ** 2).sum())), other) for j, (other, v) in enumerate(rows) if j != i and usable(v) and len(v) == len(q)]
+            out[i] = sorted(near)[:k]
+    return out
+
+
+def by_query(got):
+    """{query_id: sorted [(rank, score, vec_id)]}."""
+    out = {}
+    for r in got.collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    return {q: sorted(v) for q, v in out.items()}
+
+
+@pytest.mark.parametrize("shard", [op6.SHARD, 300])
+def test_neighbours(spark, monkeypatch, shard):
+    monkeypatch.setattr(op6, "SHARD", shard)  # the smaller one makes shards by prefix
+    rows = [(i, v) for i, v, *_ in vectors_of(spark, 1)]
+    df = spark.createDataFrame([(i, v, 9, 8, "z", 1.5) for i, v in rows], SCHEMA).withColumn("row", F.lit(1))
+    got = by_query(op6.search(df, F.col("vec_id") % 10 == 0))
+    want = {rows[i][0]: near for i, near in exact_neighbours(rows, lambda i: i % 10 == 0).items()}
+    assert set(got) == {q for q, near in want.items() if near}
+    hit = total = 0
+    for q, near in got.items():
+        assert [r for r, _, _ in near] == list(range(1, len(want[q]) + 1)) and q not in {i for _, _, i in near}
+        assert [(s, i) for _, s, i in near] == sorted((s, i) for _, s, i in near)
+        x = dict(rows)
+        assert np.allclose([s for _, s, _ in near], [np.linalg.norm(np.array(x[i], float) - np.array(x[q], float)) for _, _, i in near], rtol=1e-12, atol=0)
+        hit, total = hit + len({i for _, _, i in near} & {i for _, i in want[q]}), total + len(want[q])
+    assert hit >= 0.95 * total
 
 
-def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(op6, "BLOCK", 128)
-    rows = vectors_of(spark, 1)
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = op6.search(df, df.where("vec_id % 10 = 0")).toPandas()
-    ids = np.array([r[0] for r in rows if usable(r[1]) and len(r[1]) == 16])
-    x = np.array([r[1] for r in rows if usable(r[1]) and len(r[1]) == 16], float)
-    hit = total = 0
-    for q, own in got.groupby("query_id"):
-        own = own.sort_values("rank")
-        v = np.array(rows[q][1], float)
-        if len(v) != 16:
-            continue
-        d = np.sqrt(((x - v) ** 2).sum(1))
-        d[ids == q] = np.inf
-        best = ids[np.lexsort((ids, d))][:10]
-        hit, total = hit + len(set(best) & set(own.vec_id)), total + 10
-        assert own["rank"].tolist() == list(range(1, 11)) and q not in set(own.vec_id)
-        assert np.allclose(own.score, [d[np.flatnonzero(ids == i)[0]] for i in own.vec_id], rtol=1e-12, atol=0)
-        keys = list(zip(own.score, own.vec_id, strict=True))
-        assert keys == sorted(keys)
-    assert total == 10 * sum(r[0] % 10 == 0 and usable(r[1]) and len(r[1]) == 16 for r in rows) and hit >= 0.9 * total
-    pair = got[got.query_id.isin([r[0] for r in rows if r[1] and len(r[1]) == 2])]
-    assert all(len(g) == 1 for _, g in pair.groupby("query_id"))
+def test_repeated_ids_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.1]), (1, [1.0, 0.2]), (2, [9.0, 9.0]), (2, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], round(r["score"], 6), r["vec_id"]) for r in op6.search(df, F.col("vec_id") == 0, 2).collect())
+    assert got == [(0, 1, 0.1, 0), (0, 1, 0.1, 0), (0, 2, 0.1, 1), (0, 2, 0.2, 1)]
+    got = [(r["rank"], r["score"], r["vec_id"]) for r in op6.search(df, F.col("vec_id") == 2, 1).collect()]
+    assert got == [(1, 0.0, 2)] * 2
 
 
 def test_pigeonhole_probing_finds_every_code_of_the_radius():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 1 << 16, (300, 4)).astype(np.uint16)
-    codes[100:200] = codes[0] ^ (1 << rng.integers(0, 16, (100, 4))).astype(np.uint16)
-    tables = op6.Tables(codes)
-    away = op6._POP[codes ^ codes[0]].sum(1, dtype=int)
-    for radius in (0, 1, 3, 4, 7, 20, 64):
-        assert tables.within(codes[0], radius).tolist() == np.flatnonzero(away <= radius).tolist()
+    codes = rng.integers(0, 1 << 16, (300, op6.PARTS)).astype(np.uint16)
+    for i in range(100, 200):  # at all code distances up to 60
+        bits = np.zeros(op6.BITS, np.uint8)
+        bits[rng.choice(op6.BITS, i % 60, replace=False)] = 1
+        codes[i] = codes[0] ^ np.packbits(bits).view(np.uint16)
+    shards = [op6.Shard(codes, p) for p in range(op6.PARTS)]
+    far = op6.away(codes, codes[0])
+    for radius in (0, 1, 3, 4, 7, 8, 15, 20, 40, 64, 128):
+        found = set().union(*(s.within(codes[0], radius).tolist() for s in shards))
+        assert found == set(np.flatnonzero(far <= radius).tolist())
+
+
+def clustered(rng, groups, members, size=64):
+    centres = rng.normal(size=(groups, size))
+    x = np.repeat(centres, members, 0) + rng.normal(size=(groups * members, size)) * 0.04
+    return rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def test_the_index_passes_few_rows_of_clustered_vectors(spark, monkeypatch):
+    """Within the learned radii the probes read under a tenth of the rows, and find nearly all neighbours."""
+    x = clustered(np.random.default_rng(4), 150, 20)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    used = df.select(F.col("vec_id").alias("row"), "vec_id", (F.col("vec_id") % 20 == 0).alias("asked"), F.col("embedding").alias("v"))
+    model = op6.models_of(used, 10)[64]
+    x = np.float32(x).astype(float)
+    codes = model.codes(x)
+    shards = [op6.Shard(codes, p) for p in range(op6.PARTS)]
+    read = []
+    for q in range(0, len(x), 20):
+        kth = np.sort(op6.away(codes, codes[q]))[10]
+        radius = min(model.most, int(kth) + model.slack)
+        read.append(len(set().union(*(s.probe(codes[q], int(d)).tolist() for s, d in zip(shards, op6.depths(radius), strict=True)))) / len(x))
+    assert np.mean(read) < 0.1
+    got = by_query(op6.search(df, F.col("vec_id") % 20 == 0))
+    hit = 0
+    for q in range(0, len(x), 20):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hit += len(set(np.lexsort((np.arange(len(x)), d))[:10].tolist()) & {i for _, _, i in got[q]})
+    assert hit >= 0.95 * 10 * len(got) and len(got) == 150
+
+
+def test_queries_that_find_too_few_rows_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(op6, "_bounds", lambda *_: (0, 0))
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = by_query(op6.search(df, F.col("vec_id") < 3, 5))
+    assert {q: [i for _, _, i in v] for q, v in got.items()} == {q: np.argsort(np.linalg.norm(x - x[q], axis=1))[1:6].tolist() for q in range(3)}
 
 
 def test_recall_on_the_table(spark, data):
@@ -349,7 +410,7 @@ def test_recall_on_the_table(spark, data):
         d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
         d[ids == q] = np.inf
         hit += len(set(ids[np.lexsort((ids, d))][:10]) & set(own.vec_id))
-    assert hit >= 0.9 * 10 * (ids % 100 == 0).sum()
+    assert hit >= 0.95 * 10 * (ids % 100 == 0).sum()
 
 
 def test_chat(spark, monkeypatch):
