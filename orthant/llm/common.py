@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that become Python objects at once.
 ROWS = 1000
@@ -120,5 +121,10 @@ def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
+def share(column: str) -> Column:
+    """A number from 0 to 1 for each value, spread evenly by a 64-bit hash: what is below a share is a sample of that share, at any size."""
+    return F.shiftrightunsigned(F.xxhash64(column), 11).cast("double") * 2.0**-53
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

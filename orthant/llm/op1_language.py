@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_batches, table
+from .common import over_batches, share, table
 from .textvec import LETTER, char_classes, code_points
 
 BITS = 16
@@ -17,20 +17,29 @@ ORDERS = (1, 2, 3)
 SMOOTH = 0.5
 #: Expected number of labelled rows that the model is fitted on, at any size of the input.
 TRAIN_ROWS = 20_000
+#: Languages learned, the most frequent of the sample; the model has 2**BITS floats for each, 32 MB at most.
+LANGS = 128
 UND = "und"
 _BLOCK = 1 << 19
 
 
+def _segments(texts: list[str | None]):
+    """(document, a part of it in lower case, how many characters grams may begin at): long texts in parts of _BLOCK that overlap by the longest gram."""
+    for i, t in enumerate(texts):
+        padded = " " + (t or "").lower() + " "  # a blank before each document keeps its grams apart from its neighbours'
+        for at in range(0, len(padded), _BLOCK):
+            part = padded[at : at + _BLOCK + max(ORDERS) - 1]
+            yield i, part, min(_BLOCK, len(part))
+
+
 def _grams(texts: list[str | None]):
-    """For blocks of documents and each order: first document, gram buckets, document offsets of the grams."""
-    lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= _BLOCK):
-            size += len(texts[hi] or "")
-            hi += 1
-        # a blank before each document keeps its grams apart from its neighbours'
-        points, offsets = code_points([" " + (t or "").lower() + " " for t in texts[lo:hi]])
+    """For blocks of characters and each order: first document, gram buckets, document offsets of the grams."""
+    held, size = [], 0
+
+    def told():
+        docs = np.array([i for i, _, _ in held])
+        points, offsets = code_points([part for _, part, _ in held])
+        limits = offsets[:-1] + np.array([n for _, _, n in held])
         letters = char_classes()[points] == LETTER
         chars = np.where(letters, points, 32).astype(np.uint64)
         for order in ORDERS:
@@ -42,14 +51,24 @@ def _grams(texts: list[str | None]):
             for k in range(order):
                 h = h * np.uint64(0x100000001B3) + chars[k : k + n]
                 useful |= letters[k : k + n]
-            ends = np.minimum(offsets[1:] - order + 1, n)
-            # grams that run over a document's end are not used
-            for k in range(1, order):
-                useful[ends[ends + k <= n] + k - 1] = False
-            at = np.flatnonzero(useful)
+            # grams begin within their part's limit and end within it
+            ends = np.minimum(np.minimum(offsets[1:] - order + 1, limits), n)
+            inside = np.zeros(n + 1, np.int32)
+            np.add.at(inside, np.minimum(offsets[:-1], n), 1)
+            np.add.at(inside, np.maximum(ends, np.minimum(offsets[:-1], n)), -1)
+            at = np.flatnonzero(useful & (np.cumsum(inside[:n]) > 0))
             bucket = ((h[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
-            yield lo, bucket, np.searchsorted(at, offsets)
-        lo = hi
+            begin = offsets[:-1][np.searchsorted(docs, np.arange(docs[0], docs[-1] + 1))]
+            yield int(docs[0]), bucket, np.searchsorted(at, np.append(begin, len(chars)))
+
+    for part in _segments(texts):
+        if held and size + len(part[1]) > _BLOCK:
+            yield from told()
+            held, size = [], 0
+        held.append(part)
+        size += len(part[1])
+    if held:
+        yield from told()
 
 
 class LanguageModel:
@@ -82,13 +101,18 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fit on rows with a language whose crc32(doc_id) mod 4 is not 2.
 
     About `train_rows` of them are taken, chosen by a hash of doc_id: the
-    bound does not grow with the input. Counts are summed on the executors
-    and only buckets by classes reach the driver.
+    bound does not grow with the input. Of their languages the LANGS most
+    frequent are learned. Counts are summed on the executors and only buckets
+    by classes reach the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(_held_out(), F.lit(False))).select("doc_id", "text", "lang")
     n = rows.count()
     if n > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+        rows = rows.where(share("doc_id") < train_rows / n)
+
+    docs_by = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
+    langs = sorted(docs_by)
+    rows = rows.where(F.col("lang").isin(langs))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -104,8 +128,6 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
     counted = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    docs_by = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(docs_by)
     counts = np.zeros((len(langs), 1 << BITS))
     at = {lang: k for k, lang in enumerate(langs)}
     np.add.at(counts, (np.array([at[x] for x in counted.column("lang").to_pylist()], int), counted.column("bucket").to_numpy()), counted.column("n").to_numpy())
@@ -137,13 +159,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Drops documents without a letter and those whose best language has a posterior below `least`."""
+    """Drops documents without a letter and those whose best language has a posterior below `least`; where no language is labelled, the former only."""
     model = fit(docs)
-    shared = spark.sparkContext.broadcast(model)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
     @over_batches
     def keep(batch):
-        lang, p = shared.value.predict(batch.column("text").to_pylist())
+        texts = batch.column(at).to_pylist()
+        if not shared.value.langs:
+            return batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))
+        lang, p = shared.value.predict(texts)
         return batch.filter(pa.array([x != UND and s >= least for x, s in zip(lang, p, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema) if model.langs else docs
+    return docs.mapInArrow(keep, docs.schema)

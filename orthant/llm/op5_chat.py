@@ -1,9 +1,11 @@
 """Chat formatting: logged snapshots that another conversation continues are dropped, the others are rendered.
 
 A turn's rolling prefix hash is the running XOR of two 64-bit hashes of
-(position, role, text), so it can be added up from blocks of turns and no task
-needs a whole conversation. Conversations whose full hash is a proper prefix
-hash of another are removed by an anti-join.
+(position, role, text), so it can be added up from blocks of turns and hashing
+needs no whole conversation in a task. Conversations whose full hash is a
+proper prefix hash of another are removed by an anti-join. Placed turns and
+hashes are written once, as each is read twice. A rendered conversation is one
+value, so the task that renders it holds it whole.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 #: Turn numbers per block; a long conversation is spread over as many tasks as it has blocks.
 TURNS = 256
@@ -59,8 +61,9 @@ def render(turns: DataFrame) -> DataFrame:
     `<|im_end|>`; marks that stand in a role or text are broken by a blank. An
     empty table gives no rows; other columns are not read.
     """
-    placed = positions(turns)
-    kept = maximal(prefix_hashes(placed))
+    scratch = Scratch(turns.sparkSession, "chat")
+    placed = scratch.save(positions(turns), "placed")
+    kept = maximal(scratch.save(prefix_hashes(placed), "hashes"))
     said = F.concat(F.lit("<|im_start|>"), _clean("role"), F.lit("\n"), _clean("text"), F.lit("<|im_end|>")).alias("said")
     lines = placed.join(kept, "conv_id", "left_semi").select("conv_id", "pos", said)
     return lines.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "\n").alias("rendered"))

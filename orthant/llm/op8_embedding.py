@@ -38,7 +38,11 @@ _EDGE = "a long, b long, cosine double"
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+    """Rows of length one; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    if not len(x):
+        return x
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _planes(order: int, size: int) -> np.ndarray:
@@ -55,20 +59,18 @@ def first_neighbours(classes: DataFrame, floor: float, orders: range) -> DataFra
 
     def code(batches):
         for batch in batches:
-            x, t = matrix(batch.column("v")), batch.column("t").to_numpy()
+            t, size = batch.column("t").to_numpy(), batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             codes = np.zeros(len(t), np.int64)
-            for order in np.unique(t).tolist():
-                rows = t == order
-                codes[rows] = ((x[rows] @ _planes(order, x.shape[1])) > 0) @ (1 << np.arange(BITS, dtype=np.int64))
+            for d in np.unique(size).tolist():  # vectors of one length at a time
+                of = np.flatnonzero(size == d)
+                x = _unit(matrix(batch.column("v").take(pa.array(of))))
+                for order in np.unique(t[of]).tolist():
+                    rows = t[of] == order
+                    codes[of[rows]] = ((x[rows] @ _planes(order, d)) > 0) @ (1 << np.arange(BITS, dtype=np.int64))
             yield batch.append_column("code", pa.array(codes))
 
-    # vectors of one length at a time share a batch
-    parts = [classes.where(F.size("v") == d).select("id", "space", "v", planes).mapInArrow(code, "id long, space long, v array<float>, t int, code long") for d in _lengths(classes)]
-    if not parts:
-        return classes.sparkSession.createDataFrame([], _EDGE)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
+    kind = classes.schema["v"].dataType.simpleString()
+    rows = classes.select("id", "space", "v", planes).mapInArrow(code, f"id long, space long, v {kind}, t int, code long")
     rows = rows.repartitionByRange("space", "t", "code", "id").sortWithinPartitions("space", "t", "code", "id")
 
     def beside(batches):
@@ -85,10 +87,6 @@ def first_neighbours(classes: DataFrame, floor: float, orders: range) -> DataFra
     return rows.mapInArrow(beside, _EDGE).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def _lengths(classes: DataFrame) -> list[int]:
-    return [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()]
-
-
 def _lists(edges: DataFrame) -> DataFrame:
     """v, u, cosine, worst: the K nearest known neighbours of each vector, and the least cosine of a full list (else null)."""
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("u"), "cosine").union(edges.select("b", "a", "cosine"))
@@ -246,7 +244,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, label: str = "label
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     usable_row = usable("embedding") & F.col(label).isNotNull() & F.col("vec_id").isNotNull()
-    every = vectors.select("vec_id", F.when(usable_row, F.xxhash64(label, F.size("embedding"))).alias("space"), F.when(usable_row, F.col("embedding").cast("array<float>")).alias("v"))
+    every = vectors.select("vec_id", F.when(usable_row, F.xxhash64(label, F.size("embedding"))).alias("space"), F.when(usable_row, F.col("embedding")).alias("v"))
     classes = every.where("v is not null").groupBy("space", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = scratch.save(classes.select("id", "space", "copies", "v"), "classes")
     floor = max(0.0, 4 * least**3 - 3 * least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,3 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
-
-
-def same_length(df: DataFrame, column: str) -> list[int]:
-    """The vector lengths that occur, most frequent first."""
-    return [r["d"] for r in df.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").collect()]

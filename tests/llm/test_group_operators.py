@@ -294,6 +294,51 @@ def test_failed_search_is_finished_exactly(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(rows))] == want and [got[i]["n_links"] for i in range(len(rows))] == counts
 
 
+def planted(rng, sizes, size=24):
+    """Clusters of the given sizes whose members are near 0.98 of each other, and noise between them."""
+    x = [rng.normal(size=(200, size))]
+    for n in sizes:
+        centre = rng.normal(size=size)
+        x.append(centre / np.linalg.norm(centre) + rng.normal(size=(n, size)) * (0.1 / np.sqrt(size)))
+    x = rng.permutation(np.concatenate(x)).astype(np.float32)
+    return [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+
+
+def test_planted_clusters(spark):
+    rows = planted(np.random.default_rng(11), [2] * 20 + [10] * 5 + [60, 300, 1500])
+    counts, want = linked(rows)
+    got = {r["vec_id"]: r for r in op8.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)).collect()}
+    assert [got[i]["n_links"] for i in range(len(rows))] == counts and [got[i]["component_id"] for i in range(len(rows))] == want
+    assert max(counts) > 500 and 20 < len(set(want)) - 200 < 40
+
+
+def test_descent_finds_what_the_first_orders_miss(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = [rng.normal(size=24) for _ in range(40)]
+    x = [c / np.linalg.norm(c) for c in x]
+    rows = [(i * 40 + k, [float(np.float32(v)) for v in x[k] + rng.normal(size=24) * (0.1 / np.sqrt(24))], 0) for i in range(7) for k in range(40)]
+    rows.sort()
+    wanted = linked(rows)[1]
+    # one order's chain of each group, as a poor first graph
+    chain = [(r[0], r[0] + 40, 0.97) for r in rows if r[0] + 40 < len(rows)]
+    monkeypatch.setattr(op8, "first_neighbours", lambda *_: spark.createDataFrame(chain, op8._EDGE))
+    monkeypatch.setattr(op8, "_audit", lambda *_: 1.0)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    run = lambda: {r["vec_id"]: r["component_id"] for r in op8.near_duplicates(vectors).collect()}
+    got = run()
+    assert sum(got[i] == w for i, w in enumerate(wanted)) >= 0.99 * len(rows)
+    monkeypatch.setattr(op8, "descend", lambda classes, edges, floor: edges.limit(0))
+    got = run()
+    assert sum(got[i] == w for i, w in enumerate(wanted)) < 0.5 * len(rows)
+
+
+def test_doubles_are_kept(spark):
+    same = [[1.0, 0.0], [1e-300, 0.0], [2e-300, 0.0], [1e300, 0.0], [1e300, 1e299], [0.0, 1.0]]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(same)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op8.near_duplicates(df).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 5: (0, 5)}
+
+
 def test_vectors_without_rows_or_ids(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert op8.near_duplicates(empty).count() == 0 and op6.search(empty, F.lit(True)).count() == 0
@@ -427,6 +472,37 @@ def test_chat(spark, monkeypatch):
     assert op5.render(turns.limit(0)).count() == 0
 
 
+def snapshots(rng):
+    """Logged states of growing conversations, with forks, exact copies and shifted turn numbers."""
+    rows, conv = [], 0
+    for _ in range(60):
+        talk = [rng.choice(["hi", "ok", "why", "<|im_end|>", ""]) for _ in range(rng.randint(1, 9))]
+        if rng.random() < 0.5 and conv:
+            talk = past[: rng.randint(1, len(past))] + talk  # a fork of the one before  # noqa: F821
+        past = talk
+        for _ in range(rng.randint(1, 5)):
+            cut, shift = rng.randint(1, len(talk)), rng.choice([0, 0, 7])
+            rows += [(conv, t + shift, "user" if t % 2 == 0 else "assistant", text) for t, text in enumerate(talk[:cut])]
+            conv += 1
+    return rows
+
+
+@pytest.mark.parametrize("turns", [2, 256])
+def test_snapshots_collapse_as_in_sql(spark, monkeypatch, turns):
+    import duckdb
+    import pandas as pd
+
+    monkeypatch.setattr(op5, "TURNS", turns)
+    rows = snapshots(random.Random(13))
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    con.register("conversations", frame)
+    want = {r[0]: r[1:] for r in con.sql(op5.SQL).fetchall()}
+    got = {r["conv_id"]: (r["n_turns"], r["rendered"]) for r in op5.render(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)).collect()}
+    total = len({r[0] for r in rows})
+    assert got == want and 0.1 * total < len(got) < 0.5 * total
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(name, same_as_sql):
     same_as_sql(queries.QUERIES[name], queries.SQL[name])

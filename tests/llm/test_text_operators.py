@@ -96,10 +96,67 @@ def test_language_scores_equal_a_plain_sum():
     assert grams == sum(any(c.isalpha() for c in padded[i : i + n]) for n in op1.ORDERS for i in range(len(padded) - n + 1))
 
 
+def plain_bayes(train, texts):
+    """Posterior of each text's likeliest language by counts of n-grams in dictionaries; hashing has room enough for few to collide."""
+
+    def grams(t):
+        padded = "".join(c if textvec.char_classes()[ord(c)] == textvec.LETTER else " " for c in " " + t.lower() + " ")
+        return [padded[i : i + n] for n in op1.ORDERS for i in range(len(padded) - n + 1) if padded[i : i + n].strip()]
+
+    counts, docs = {}, Counter(lang for _, lang in train)
+    for t, lang in train:
+        counts.setdefault(lang, Counter()).update(grams(t))
+    out = []
+    for t in texts:
+        score = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + op1.SMOOTH * (1 << op1.BITS)
+            score[lang] = np.log((docs[lang] + 1) / (sum(docs.values()) + len(docs))) + sum(np.log((c[g] + op1.SMOOTH) / total) for g in grams(t))
+        best = max(score, key=score.get)
+        out.append((best, 1 / sum(np.exp(s - score[best]) for s in score.values())))
+    return out
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    rng = random.Random(2)
+    words = {"en": ["the", "cat", "with"], "de": ["und", "der", "mit"], "nl": ["een", "met", "der"]}
+    train = [(" ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 12))), lang) for lang in words for _ in range(20)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][: len(train)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in zip(ids, train, strict=True)], "doc_id long, text string, lang string")
+    model = op1.fit(docs)
+    texts = ["der", "een cat", "mit the", "und met with der", "xyz q", "Cat. THE 12"]
+    lang, score = model.predict(texts)
+    want = plain_bayes(train, texts)
+    assert lang == [w for w, _ in want] and np.allclose(score, [s for _, s in want], atol=2e-3)
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    texts = ["ab ba " * 50, "", "ä" * 33, None, "x y", "hello world " * 7]
+    whole = [(lo, b.tolist(), o.tolist()) for lo, b, o in op1._grams(texts)]
+    want = Counter((lo + i, x) for lo, b, o in whole for i in range(len(o) - 1) for x in b[o[i] : o[i + 1]])
+    for block in (7, 32, 100):
+        monkeypatch.setattr(op1, "_BLOCK", block)
+        assert Counter((lo + i, x) for lo, b, o in op1._grams(texts) for i in range(len(o) - 1) for x in b[o[i] : o[i + 1]].tolist()) == want
+
+
+def test_samples_are_never_empty_for_their_size(spark):
+    rows = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    n = rows.where(op1.share("doc_id") < 20_000 / 200_000).count()
+    assert 19_000 < n < 21_000
+    low, high = rows.agg(F.min(op1.share("doc_id")), F.max(op1.share("doc_id"))).first()
+    assert 0 <= low < 1e-4 and 0.9999 < high < 1 and rows.where(op1.share("doc_id") < 1e-7 * 200).count() < 20
+
+
+def test_only_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(op1, "LANGS", 2)
+    d = docs_of(spark, ["ab"] * 30, {i: ("p", "q", "p", "r")[i % 4] if i < 29 else "p" for i in range(30)})
+    assert len(op1.fit(d).langs) == 2 and "p" in op1.fit(d).langs
+
+
 def test_language_without_training_rows(spark):
     d = docs_of(spark, ["abc", None])
     assert [(r["lang_pred"], r["score"]) for r in op1.predict(d, op1.fit(d)).collect()] == [("und", 0.0)] * 2
-    assert op1.stage(spark, d, "").count() == 2
+    assert [r["text"] for r in op1.stage(spark, d, "").collect()] == ["abc"]
     assert op1.predict(d.limit(0), op1.fit(d.limit(0))).count() == 0
 
 
