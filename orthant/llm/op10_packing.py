@@ -6,6 +6,11 @@ windows by differencing: the two partial partitions with the largest
 imbalances are merged, the fullest windows of one with the emptiest of the
 other, until one partition is left. If a window then exceeds the capacity, one
 more window is used and the block is dealt anew.
+
+A sequence has as many tokens as its pieces; a reader pads it to WINDOW, except
+where it is a power of two, which can be used as it is. Differencing makes the
+windows of a block near-equal, so what padding there is lies in all of them
+alike, and in the last block of a task.
 """
 
 from __future__ import annotations

@@ -1,7 +1,9 @@
 """Quality classifier: expected rating and tail probability from a cumulative-link ordinal regression.
 
-Ratings of the labels table: 0 low quality, 1 good but toxic, 2 good. Words
-and style features share one weight vector over both cuts.
+Ratings of the labels table: 0 low quality, 1 good but toxic, 2 good. The
+table's two columns have two values each; only together do they give the three
+grades in order of use for training that an ordinal model needs. Words and
+style features share one weight vector over both cuts.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from . import ordinal
 from .common import table
 
-GRADES = 3
+GRADES = [0, 1, 2]
 
 
 def rating():
@@ -33,8 +35,8 @@ def score(docs: DataFrame, model: ordinal.OrdinalModel, least: float = 0.5) -> D
     Without labels nothing is learned: all tails are one half and all is kept.
     """
 
-    def make(tails):
-        return {"expected_grade": pa.array(tails.sum(1)), "p_good": pa.array(tails[:, 0]), "p_best": pa.array(tails[:, 1]), "kept": pa.array(tails[:, 0] >= least)}
+    def make(model, tails):
+        return {"expected_grade": pa.array(model.expected(tails)), "p_good": pa.array(tails[:, 0]), "p_best": pa.array(tails[:, 1]), "kept": pa.array(tails[:, 0] >= least)}
 
     return ordinal.score(docs, model, make, "expected_grade double, p_good double, p_best double, kept boolean")
 

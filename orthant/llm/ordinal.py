@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_column
+from .common import Scratch, list_column, share
 from .textvec import blocks, byte_tables, mix, run_hashes, runs, utf8
 
-#: Expected number of labelled rows that a model is fitted on, at any size of the input.
-TRAIN_ROWS = 8_000
+#: Expected number of labelled rows that a model is fitted on at most, at any size of the input, and expected bytes of their features that reach the driver.
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 1 << 27
+#: Grades told apart at most, the most frequent ones; a rarer grade counts as the next lower one of these, or the lowest.
+MOST_GRADES = 16
 #: Not used: features that fewer labelled texts have, or that shift the mean grade by fewer standard errors or by less than a share of the strongest's. Of the others, the ones that shift it most.
+#: The share keeps chance features out, so a model may rest on some hundred features, and a cue less than about a sixteenth as frequent as the commonest one has no weight.
 LEAST_TEXTS, LEAST_Z, LEAST_SHARE, FEATURES = 10, 6.0, 0.25, 2048
 #: Bytes of the word beginnings that are features beside whole words: stems with many endings.
 PREFIXES = (4, 5, 6, 7)
@@ -99,11 +102,16 @@ def features(column: pa.Array, style: bool, wanted: Wanted | None = None):
 
 
 class OrdinalModel:
-    """Hashes and weights of the features used, and increasing cuts, one fewer than grades."""
+    """Hashes and weights of the features used, increasing cuts, one fewer than grades, and the grades themselves."""
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray, cuts: np.ndarray, style: bool) -> None:
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, cuts: np.ndarray, style: bool, grades: list[int] | None = None) -> None:
         order = np.argsort(hashes)
         self.wanted, self.weights, self.cuts, self.style = Wanted(hashes), weights[order], cuts, style
+        self.grades = list(range(len(cuts) + 1)) if grades is None else grades
+
+    def expected(self, tails: np.ndarray) -> np.ndarray:
+        """The expected grade from the tail probabilities."""
+        return self.grades[0] + tails @ np.diff(self.grades)
 
     def tails(self, column: pa.Array) -> np.ndarray:
         """P(grade > k) by text and k."""
@@ -186,50 +194,66 @@ def solve(doc: np.ndarray, hashes: np.ndarray, grade: np.ndarray, grades: int, s
     return OrdinalModel(names[chosen], p[:f], np.cumsum(np.concatenate([p[f : f + 1], np.exp(p[f + 1 :])])), style)
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: int | None, style: bool, train_rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on labelled documents; `grade` is an expression on the labels, rows where it is null are left out; grades: how many there are, else as many as occur.
+def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: list[int] | None, style: bool, train_rows: int = TRAIN_ROWS) -> OrdinalModel:
+    """Fit on labelled documents; `grade` is an expression on the labels, rows where it is null are left out; grades: those there are, else those that occur, MOST_GRADES at most.
 
-    About `train_rows` labels are taken by a hash of doc_id, so what reaches
-    the driver is bounded. Documents whose id is null have no label; several
-    labels of a document each count.
+    About `train_rows` labels are taken by a hash of doc_id, fewer if their
+    features would be more than TRAIN_BYTES, so what reaches the driver is
+    bounded. Documents whose id is null have no label; several labels of a
+    document each count.
     """
-    rows = labels.select("doc_id", grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null")
+    rows = labels.select("doc_id", grade.cast("long").alias("grade")).where("doc_id is not null and grade is not null")
     n = rows.count()
     if n > train_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+        rows = rows.where(share("doc_id") < train_rows / n)
+    if grades is None:
+        often = rows.groupBy("grade").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "grade").limit(MOST_GRADES)
+        grades = sorted(r["grade"] for r in often.collect())
+        grades = [0, 1] if not grades else grades if len(grades) > 1 else sorted({0, 1, *grades})
 
     def gather(batches):
         for batch in batches:
-            grades_, column = batch.column("grade"), batch.column("text")
+            ids, grades_, column = batch.column("doc_id"), batch.column("grade"), batch.column("text")
             for lo, found, offs in features(column, style):
-                yield pa.RecordBatch.from_pydict({"grade": grades_.slice(lo, len(offs) - 1), "hashes": list_column(found.view(np.int64), offs, pa.int64())})
-
-    got = docs.select("doc_id", "text").join(rows, "doc_id").select("text", "grade").mapInArrow(gather, "grade int, hashes array<bigint>").toArrow().combine_chunks()
-    grade_ = got.column("grade").to_numpy().astype(np.int64)
-    sizes = got.column("hashes").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    hashes = got.column("hashes").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    return solve(np.repeat(np.arange(len(grade_)), sizes), hashes, grade_, grades or max(2, int(grade_.max(initial=0)) + 1), style)
-
-
-def score(docs: DataFrame, model: OrdinalModel, make: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
+                rows = len(offs) - 1
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, rows), "grade": grades_.slice(lo, rows), "hashes": list_column(found.view(np.int64), offs, pa.int64())})
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").select("doc_id", "text", "grade")
+    scratch = Scratch(docs.sparkSession, "labels")
+    got = scratch.save(texts.mapInArrow(gather, "doc_id long, grade long, hashes array<bigint>"), "features")
+    size = 8 * (got.agg(F.sum(F.size("hashes"))).first()[0] or 0)
+    if size > TRAIN_BYTES:
+        got = got.where(share("doc_id") < TRAIN_BYTES / size * min(1.0, train_rows / n))
+    got = got.select("grade", "hashes").toArrow().combine_chunks()
+    scratch.drop("features")
+    level = np.maximum(np.searchsorted(grades, got.column("grade").to_numpy(), "right") - 1, 0)
+    lists = got.column("hashes").combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    model = solve(np.repeat(np.arange(len(level)), sizes), hashes, level, len(grades), style)
+    model.grades = grades
+    return model
+
+
+def score(docs: DataFrame, model: OrdinalModel, make: Callable[[OrdinalModel, np.ndarray], dict], schema: str) -> DataFrame:
     """doc_id and what `make` gets from the tail probabilities of each row; one pass without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64())} | make(shared.value.tails(batch.column("text"))))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64())} | make(shared.value, shared.value.tails(batch.column("text"))))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + schema)
 
 
-def keep_rows(docs: DataFrame, model: OrdinalModel, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def keep_rows(docs: DataFrame, model: OrdinalModel, keep: Callable[[OrdinalModel, np.ndarray], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, whose tail probabilities `keep` accepts."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(keep(shared.value.tails(batch.column(at)))))
+                yield batch.filter(pa.array(keep(shared.value, shared.value.tails(batch.column(at)))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -191,6 +191,51 @@ def test_toxicity_finds_words_and_stems(spark, tmp_path):
     assert not any(r["toxic"] for r in op2.score(docs, none).collect()) and op2.score(docs.limit(0), none).count() == 0
 
 
+def graded(rng, grades, n=900):
+    """Texts whose grade is told by how many severe words they have."""
+    texts, found = [], []
+    for _ in range(n):
+        k = rng.randrange(len(grades))
+        words = [f"w{rng.randrange(300)}x" for _ in range(rng.randint(10, 40))] + [f"severe{c}" for c in "abcd"[:k]]
+        rng.shuffle(words)
+        texts.append(" ".join(words)), found.append(grades[k])
+    return texts, found
+
+
+@pytest.mark.parametrize("grades", [[0, 1, 2, 3], [0, 5], [0, 2, 10**8]])
+def test_severity_grades(spark, grades):
+    texts, found = graded(random.Random(21), grades)
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, 1, g) for i, g in enumerate(found[:700])], "doc_id long, quality int, toxic int")
+    model = op2.fit(docs, labels)
+    assert model.grades == grades and len(model.cuts) == len(grades) - 1 and np.all(np.diff(model.cuts) > 0)
+    rows = {r["doc_id"]: r for r in op2.score(docs, model).collect()}
+    held = range(700, 900)
+    assert np.mean([rows[i]["toxic"] == (found[i] > 0) for i in held]) > 0.97
+    means = [np.mean([rows[i]["expected_severity"] for i in held if found[i] == g]) for g in grades]
+    assert np.all(np.diff(means) > 0) and all(grades[0] <= rows[i]["expected_severity"] <= grades[-1] for i in held)
+
+
+def test_rare_grades_join_the_next_lower_one(spark, monkeypatch):
+    monkeypatch.setattr(ordinal, "MOST_GRADES", 2)
+    monkeypatch.setattr(ordinal, "TRAIN_BYTES", 60_000)  # of 8 bytes for each feature
+    texts, found = graded(random.Random(22), [0, 3])
+    labels = spark.createDataFrame([(i, 1, g + (i == 7) * 4) for i, g in enumerate(found)], "doc_id long, quality int, toxic int")
+    model = op2.fit(docs_of(spark, texts), labels)
+    assert model.grades == [0, 3] and len(model.wanted.hashes)
+
+
+def test_quality_has_three_grades(spark):
+    texts, found = graded(random.Random(23), [2, 1, 0])
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(g > 0), int(g == 1)) for i, g in enumerate(found[:700])], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in op3.score(docs, op3.fit(docs, labels)).collect()}
+    held = range(700, 900)
+    assert np.mean([rows[i]["kept"] == (found[i] > 0) for i in held]) > 0.95
+    assert np.mean([(rows[i]["p_best"] > 0.5) == (found[i] == 2) for i in held]) > 0.95
+    assert np.all(np.diff([np.mean([rows[i]["expected_grade"] for i in held if found[i] == g]) for g in (0, 1, 2)]) > 0.4)
+
+
 def test_ordinal_grades_are_ordered():
     rng = np.random.default_rng(2)
     grade = rng.integers(0, 4, 600)
@@ -453,6 +498,25 @@ def test_packing_covers_every_id_once(spark):
     assert op10.pack(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_packing_leaves_little_padding(spark):
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(["alpha", "be", "gamma", "12", "x"]) for _ in range(int(rng.lognormvariate(4.5, 1.2)))) for _ in range(3000)]
+    rows = op10.pack(docs_of(spark, texts).repartition(4)).select("sequence_id", "length").toPandas()
+    used = rows.groupby("sequence_id")["length"].sum().to_numpy()
+    last = 4  # one sequence of each task may be left nearly empty
+    padded = np.where(np.bitwise_count(used.astype(np.uint64)) == 1, 0, 1024 - used)
+    assert used.max() <= 1024 and padded.sum() - np.sort(padded)[-last:].sum() <= 0.02 * used.sum()
+    cut = rng.choices(range(1, 257), k=3000)
+    window = op10.deal(np.array(cut))
+    sums = np.bincount(window, cut)
+    assert sums.max() <= 1024 and sums.max() - sums.min() <= 0.02 * sums.mean() and len(sums) <= -(-sum(cut) // 1024) * 1.02 + 1
+
+
+def test_packing_small_partitions(spark):
+    rows = op10.pack(docs_of(spark, ["a b c"] * 40).repartition(40)).collect()
+    assert len(rows) == 40 and len({r["doc_id"] for r in rows}) == 40 and all(r["offset"] + r["length"] <= 1024 for r in rows)
+
+
 def test_null_ids(spark):
     docs = docs_of(spark, ["abc def"]).withColumn("doc_id", F.lit(None).cast("long"))
     assert op10.pack(docs).first()["doc_id"] is None and op9.scan(docs).first()["doc_id"] is None
