@@ -42,3 +42,38 @@ def test_stages(spark, tmp_path):
     ids = lambda df: sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in df.collect())
     joined = lambda rows: {d: b"".join(x[2] for x in rows if x[0] == d) for d in {x[0] for x in rows}}
     assert joined(ids(whole)) == joined(ids(now)) and np.all([r["length"] <= 1024 for r in whole.collect()])
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, tile int, grade long, root long, component_id long, id string, n_shingles int, grp long, lang_pred string, kept boolean, start long"
+
+
+def piped(spark, tmp_path, rows, labels):
+    """The last stage's rows, after checks that hold for any input."""
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, 3, 4, "x", 5, 6, "y", False, 7) for i, t in rows], CLASHING)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert now.schema == docs.schema
+    kept = now.collect()
+    assert all((r["tile"], r["grp"], r["lang_pred"], r["kept"], r["start"]) == (1, 6, "y", False, 7) for r in kept)
+    return kept, corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def test_empty_tables(spark, tmp_path):
+    assert piped(spark, tmp_path, [], []) == ([], [])
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Nulls, repeated ids and rows, very long texts, a text of one letter; no labels."""
+    long = " ".join(f"word{i * i % 99_991}" for i in range(150_000))
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "One two three four five SIX"), (None, "one two three four five six"), (3, None), (None, None), (4, ""), (5, "12 34 !!"), (6, long), (7, long + " x"), (8, "q" * 300_000), (9, "a")]
+    kept, packed = piped(spark, tmp_path, rows, [])
+    ids = sorted((r["doc_id"] or -1 for r in kept))
+    assert ids == [-1, 1, 1, 6, 8, 9]  # what has a letter, one of each group; a null id is in no group, equal ids go together
+    assert {r["doc_id"] for r in packed} == {None, 1, 6, 8, 9}
+    assert sum(r["length"] for r in packed if r["doc_id"] == 6) == next(r["doc_tokens"] for r in packed if r["doc_id"] == 6) > 400_000
+    texts = {r["doc_id"]: r["text"] for r in kept}
+    assert texts[6] == long and texts[8] == "q" * 300_000
