@@ -26,7 +26,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, over the whole documents table."""
+    """All stages in order, over the whole documents table; the pieces of packing.pack.
+
+    Rows with a null doc_id are never copies of others. Of rows with equal ids
+    all stay or go as copies. Null and empty texts, and those without a letter,
+    go in the language stage. Without labels no document is toxic; without
+    labelled languages every text with a letter stays. Columns beside those of
+    documents are carried along whatever their names, and left out at last. An
+    empty table gives no rows.
+    """
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), name)
