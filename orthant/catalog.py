@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import transforms
 from .functions.moments import moments, moments_by_leaf, moments_table
 from .functions.solver import solve
 from .operators import consume, quantile
@@ -15,12 +18,13 @@ from .operators.routing import assign
 from .operators.sampled import sampled_tree, stratified_sample
 from .plans.tree import SplitTree
 from .sources import points, report
+from .sources.scratch import Scratch
 from . import oracle as sql
 
 AXES = ("o_totalprice", "o_custkey")
 KEY = ("o_orderkey",)
 DEPTH, EXACT = 6, 1_000_000
-J = (2, 3, 3)
+J, J3 = (2, 3, 3), (2, 2)
 HARMONIC_DEPTH = 4
 
 
@@ -102,8 +106,32 @@ def _q_harmonic_local_depth(spark, d):
     return _counts(_orders(spark, d), _harmonic(spark, d, local_depth=2))
 
 
+def _q_harmonic_default_splits(spark, d):
+    return _splits(spark, harmonic_tree(_orders(spark, d), AXES))
+
+
 def _q_harmonic_default_counts(spark, d):
-    return _counts(_orders(spark, d), harmonic_tree(_orders(spark, d), AXES, depth=8, batch_size=4))
+    return _counts(_orders(spark, d), harmonic_tree(_orders(spark, d), AXES))
+
+
+def _q_harmonic_default_batched(spark, d):
+    return _counts(_orders(spark, d), harmonic_tree(_orders(spark, d), AXES, depth=4, batch_size=1))
+
+
+def _q_harmonic_three_variables(spark, d):
+    axes = (*AXES, *KEY)
+    return _splits(spark, harmonic_tree(_orders(spark, d), axes, J3, 3))
+
+
+def _balance(counts: DataFrame, leaves: int, most: float) -> DataFrame:
+    """rows, and whether there are `leaves` leaves at most, none of more than `most` times its share."""
+    share = F.max("count") <= most * F.sum("count") / leaves
+    return counts.agg(F.sum("count").alias("rows"), ((F.count("*") <= leaves) & share).alias("balanced"))
+
+
+def _q_harmonic_deep_balance(spark, d):
+    df = _orders(spark, d)
+    return _balance(consume.counts_by_leaf(df, harmonic_tree(df, AXES, depth=8, batch_size=4)), 256, 4.0)
 
 
 def _q_canonical_splits(spark, d):
@@ -114,8 +142,21 @@ def _q_canonical_leaf_counts(spark, d):
     return _counts(_orders(spark, d), _canonical(_orders(spark, d)))
 
 
-def _q_canonical_sketch_counts(spark, d):
-    return _counts(_orders(spark, d), _canonical(_orders(spark, d), accuracy=100))
+def _q_canonical_sketch_error(spark, d):
+    """Whether the rank of each first point is off by 1 / accuracy of the rows at most, for the default accuracy and others."""
+    df, out = _orders(spark, d), None
+    for accuracy in (100, 1000):
+        for axis in AXES:
+            point = quantile.canonical_tree(df, [axis], 1, accuracy).points[0][0]
+            off = F.greatest(F.avg((F.col(axis) < point).cast("double")) - 0.5, 0.5 - F.avg((F.col(axis) <= point).cast("double")))
+            row = df.agg((off <= 1 / accuracy).alias("within")).select(F.lit(accuracy).alias("accuracy"), F.lit(axis).alias("variable"), "within")
+            out = row if out is None else out.union(row)
+    return out
+
+
+def _q_canonical_sketch_balance(spark, d):
+    df = _orders(spark, d)
+    return _balance(consume.counts_by_leaf(df, _canonical(df, accuracy=100)), 1 << DEPTH, 1.5)
 
 
 def _q_exact_local_splits(spark, d):
@@ -185,7 +226,35 @@ def _q_sampled_tree_counts(spark, d):
 
 def _q_sampled_tree_random(spark, d):
     df = _orders(spark, d)
-    return _counts(df, sampled_tree(df, AXES, DEPTH))
+    return _balance(consume.counts_by_leaf(df, sampled_tree(df, AXES, DEPTH)), 1 << DEPTH, 4.0)
+
+
+def _q_sampled_by_leaf(spark, d):
+    df = _orders(spark, d)
+    return stratified_sample(assign(df, _canonical(df, 4)), 40, 160).groupBy("leaf").agg(F.count("*").alias("count"))
+
+
+def _q_random_representatives(spark, d):
+    df = _orders(spark, d)
+    return consume.representative_samples(df, _canonical(df, 4), 5).groupBy("sample").agg(F.count("*").alias("rows"))
+
+
+def _q_random_sample_sizes(spark, d):
+    return consume.random_samples(_orders(spark, d), 50, 5).groupBy("sample").agg(F.count("*").alias("rows"))
+
+
+def _q_points_round_trip(spark, d):
+    scratch = Scratch(spark, "points")
+    points.write_points(_orders(spark, d).select(*KEY, *AXES), f"{scratch.root}/p")
+    return points.read_points(spark, f"{scratch.root}/p", [*KEY, AXES[0]])
+
+
+def _q_results_round_trip(spark, d):
+    scratch = Scratch(spark, "results")
+    for algorithm in ("canonical", "harmonic"):
+        rows = _results(spark).where(F.col("algorithm") == algorithm).withColumn("fold", F.lit(1))
+        report.write_results(rows, f"{scratch.root}/r")
+    return report.read_results(spark, f"{scratch.root}/r")
 
 
 def _q_box_filter(spark, d):
@@ -193,12 +262,82 @@ def _q_box_filter(spark, d):
     return consume.in_box(df, _canonical(df, 4), {"o_totalprice": (100_000.0, 200_000.0), "o_custkey": (100.0, 700.0)}).select(*KEY)
 
 
+def _summary(df: DataFrame) -> DataFrame:
+    """One row a seed over all its points."""
+    edge = F.sum(((F.col("x") == 0) | (F.col("x") == 100) | (F.col("y") == 0) | (F.col("y") == 100)).cast("long"))
+    stats = {"mean_x": F.avg("x"), "mean_y": F.avg("y"), "mean_xy": F.avg(F.col("x") * F.col("y")), "least": F.least(F.min("x"), F.min("y")), "greatest": F.greatest(F.max("x"), F.max("y"))}
+    return df.groupBy("seed").agg(F.count("*").alias("points"), edge.alias("at_edge"), *[F.round(c, 6).alias(n) for n, c in stats.items()])
+
+
 def _q_generate_blobs(spark, d):
-    return points.blobs(spark, 1)
+    return _summary(points.blobs(spark, 1, seeds=True))
 
 
 def _q_generate_normal(spark, d):
-    return points.normal(spark, 1)
+    return _summary(points.normal(spark, 1, seeds=True))
+
+
+def _kernel(make):
+    """A query of a kernel: for each order and j, entry j of the array that `make` gives for the angle of customer / 1000."""
+
+    def run(spark, d):
+        def values(batches):
+            for batch in batches:
+                out = make(batch.column("x").to_numpy())
+                n = out.shape[1]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.repeat(batch.column("key").to_numpy(), n)), "j": pa.array(np.tile(np.arange(n, dtype=np.int32), len(out))), "value": pa.array(out.ravel())})
+
+        angles = _orders(spark, d).select(F.col(KEY[0]).alias("key"), (F.col("o_custkey") / 1000).alias("x"))
+        rows = angles.mapInArrow(values, "key long, j int, value double")
+        return rows.select(F.col("key").alias(KEY[0]), "j", F.expr("round(value, 4) + 0.0D").alias("value"))
+
+    return run
+
+
+def _odd(f, x):
+    return f(x)[:, None] ** (2 * np.arange(sql.KERNEL) + 1)
+
+
+def _products(f, x):
+    """f((2j+1)x) cos(k L x) cos(k' L' x) for the factors J3."""
+    out, step = f((2 * np.arange(J3[0]) + 1) * x[:, None]), 2 * J3[0]
+    for n in J3[1:]:
+        out = out[..., None] * np.cos(np.arange(n) * (step * x)[:, None]).reshape(len(x), *[1] * (out.ndim - 1), n)
+        step *= n
+    return out
+
+
+def _one_by_one(f, tensors):
+    return np.stack([f(t) for t in tensors]) if len(tensors) else np.empty((0, 1))
+
+
+_q_kernel_odd_powers = _kernel(lambda x: transforms.odd_powers_to_harmonics(_odd(np.cos, x)))
+_q_kernel_powers = _kernel(lambda x: transforms.powers_to_harmonics(np.cos(x)[:, None] ** np.arange(sql.KERNEL)))
+_q_kernel_sine_products = _kernel(lambda x: transforms.sine_products_to_powers(np.sin(x)[:, None] * np.cos(x)[:, None] ** (2 * np.arange(sql.KERNEL))))
+_q_kernel_signs = _kernel(lambda x: transforms.alternate_signs(transforms.odd_powers_to_harmonics(_odd(np.sin, x))))
+_q_kernel_cosine_tensor = _kernel(lambda x: _one_by_one(transforms.cosine_products_to_harmonics, _products(np.cos, x)))
+_q_kernel_sine_tensor = _kernel(lambda x: _one_by_one(transforms.sine_products_to_harmonics, _products(np.sin, x)))
+_q_kernel_power_tensor = _kernel(lambda x: _one_by_one(lambda t: transforms.powers_to_basis(*t), np.stack([transforms.power_tensor(x, J3, f) for f in ("cos", "sin")], 1)))
+
+
+def _q_kernel_moments(spark, d):
+    """Moments of two variables by way of their power products, added up in tasks."""
+    size = 2 * sql.KERNEL_ORDER + 1
+
+    def total(batches):
+        out, n = np.zeros((size, size)), 0
+        for batch in batches:
+            u, v = (np.concatenate([np.ones((len(x), 1)), *(transforms.power_tensor(x, J3, f).reshape(len(x), -1) for f in ("cos", "sin"))], 1) for x in (batch.column(c).to_numpy() for c in ("u", "v")))
+            out, n = out + u.T @ v, n + len(u)
+        at = np.indices(out.shape).reshape(2, -1).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(at[0]), "k": pa.array(at[1]), "total": pa.array(out.ravel()), "n": pa.array(np.full(out.size, n))})
+
+    unit = quantile.normalize(_orders(spark, d), AXES).select(*[F.col(f"{a}_unit").alias(c) for a, c in zip(AXES, "uv", strict=True)])
+    sums = unit.mapInArrow(total, "i int, k int, total double, n long").groupBy("i", "k").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()  # size x size
+    tensor = np.zeros((size, size))
+    for r in sums:
+        tensor[r["i"], r["k"]] = r["mean"]
+    return moments_table(transforms.along_axes(tensor, 2, J3), spark).withColumn("moment", F.expr("round(moment, 6) + 0.0D"))
 
 
 def _results(spark: SparkSession) -> DataFrame:
@@ -229,14 +368,17 @@ def _q_bench_labels(spark, d):
 
 
 def _q_bench_run(spark, d):
+    """The benchmark's grid; precision is the trees' own, runtimes only have to be there."""
     df = _orders(spark, d)
-    builders = {f"accuracy = {a}": (lambda x, depth, a=a: quantile.canonical_tree(x, AXES, depth, a)) for a in (10, 100)}
-    return report.benchmark(spark, {("orders", "2^13"): df}, "canonical", builders, [2])
+    size = f"2^{df.count().bit_length() - 1}"
+    builders = {f"accuracy = {a}": (lambda x, depth, a=a: quantile.canonical_tree(x, AXES, depth, a)) for a in (EXACT, 10 * EXACT)}
+    rows = report.benchmark(spark, {("orders", size): df}, "canonical", builders, [2, 3], [1, 2])
+    return rows.withColumns({"precision": F.round("precision", 9), "timed": F.col("runtime") > 0}).drop("runtime")
 
 
 #: Each function reads its tables below the folder it is given.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name.removeprefix("_q_"): f for name, f in list(globals().items()) if name.startswith("_q_")}
 
-SQL: dict[str, str] = sql.queries(AXES, KEY[0], DEPTH, J, HARMONIC_DEPTH)
+SQL: dict[str, str] = sql.queries(AXES, KEY[0], DEPTH, J, J3, HARMONIC_DEPTH)
 
 __all__ = ["QUERIES", "SQL"]

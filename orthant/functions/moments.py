@@ -13,13 +13,13 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a tensor at most; wider trees need smaller batches of levels.
 TENSOR_BUDGET = 1 << 21
-SALTS = 32
+#: Entries of a tensor that are added up together.
+CHUNK = 1024
 _ROWS = 4096
 
 
@@ -60,15 +60,21 @@ def tensor_sum(points: np.ndarray, order: int) -> np.ndarray:
     return out.reshape((2 * order + 1,) * p)
 
 
-def partial_moments(df: DataFrame, order: int, boxes: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """leaf, salt, sums: tensors of each task's rows by leaf, merged once more by leaf and salt.
+def summed_moments(df: DataFrame, order: int, boxes: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """leaf, chunk, sums: the tensor of each leaf's rows, flat, in chunks of CHUNK entries.
 
     df: leaf and x0, x1, ... in data units. boxes: lower and upper bounds of a
-    leaf's variables. A task holds one tensor per leaf it meets; with few leaves,
-    SALTS groups of tensors are added up before any leaf's meet in one task.
+    leaf's variables. A task adds up its rows in one tensor for each leaf it
+    meets; chunks of a tensor are then added up apart from each other, as a
+    stream, so no task holds the tensors of many others.
     """
     names = [c for c in df.columns if c != "leaf"]
-    spread = SALTS if len(boxes) < SALTS else 1
+    schema = "leaf long, chunk int, sums array<double>"
+
+    def chunks(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        at = pa.array([k for k, _ in sums], pa.int64()), pa.array([c for _, c in sums], pa.int32())
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in sums.values()])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*at, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sums.values(), np.empty(0)])))], names=["leaf", "chunk", "sums"])
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -81,36 +87,44 @@ def partial_moments(df: DataFrame, order: int, boxes: dict[int, tuple[np.ndarray
                 width = np.where(upper > lower, upper - lower, 1)
                 t = tensor_sum((rows - lower) / width, order).ravel()
                 sums[n] = sums[n] + t if n in sums else t
-        salt = TaskContext.get().partitionId() % spread
         for n, t in sums.items():
-            yield pa.RecordBatch.from_pydict({"leaf": pa.array([n], pa.int64()), "salt": pa.array([salt], pa.int32()), "sums": pa.array([t], pa.list_(pa.float64()))})
+            for lo in range(0, len(t), CHUNK << 6):
+                yield chunks({(n, k // CHUNK): t[k : k + CHUNK] for k in range(lo, min(len(t), lo + (CHUNK << 6)), CHUNK)})
+
+    def add(batches):
+        now, total = None, None
+        for batch in batches:
+            lists, keys = batch.column("sums"), zip(batch.column("leaf").to_pylist(), batch.column("chunk").to_pylist(), strict=True)
+            for i, key in enumerate(keys):
+                t = lists[i].values.to_numpy(zero_copy_only=False)
+                if key == now:
+                    total += t
+                else:
+                    if now is not None:
+                        yield chunks({now: total})
+                    now, total = key, t.copy()
+        if now is not None:
+            yield chunks({now: total})
 
-    part = df.mapInArrow(run, "leaf long, salt int, sums array<double>")
-    if spread == 1:
-        return part
-    return part.groupBy("leaf", "salt").applyInArrow(lambda t: pa.table({"leaf": t.column("leaf")[:1], "salt": t.column("salt")[:1], "sums": pa.array([merged(t)], pa.list_(pa.float64()))}), "leaf long, salt int, sums array<double>")
+    part = df.mapInArrow(run, schema)
+    return part.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk").mapInArrow(add, schema)
 
 
-def merged(table: pa.Table) -> np.ndarray:
-    """The sum of a table's tensors, one in memory beside the table."""
-    total = None
-    for chunk in table.column("sums").chunks:
-        for row in chunk:
-            values = row.values.to_numpy(zero_copy_only=False)
-            total = values.copy() if total is None else total + values
-    return total
+def joined(table: pa.Table) -> np.ndarray:
+    """One leaf's tensor, flat, from its chunks."""
+    order = np.argsort(table.column("chunk").to_numpy())
+    return table.take(pa.array(order)).column("sums").combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
 def moments(df: DataFrame, variables: Sequence[str], order: int, lower: Sequence[float], upper: Sequence[float]) -> np.ndarray:
-    """The tensor of means over all rows without nulls, by driver from a few merged sums; all zero without rows."""
+    """The tensor of means over all rows without nulls; only one tensor reaches the driver; all zero without rows."""
     size = check_budget(order, len(variables))
     x = [F.col(f"`{v}`").cast("double").alias(f"x{i}") for i, v in enumerate(variables)]
     points = df.select(F.lit(0).cast("long").alias("leaf"), *x).dropna()
-    part = partial_moments(points, order, {0: (np.array(lower, float), np.array(upper, float))})
-    table = part.toArrow()
+    table = summed_moments(points, order, {0: (np.array(lower, float), np.array(upper, float))}).toArrow()
     if not table.num_rows:
         return np.zeros((2 * order + 1,) * len(variables))
-    total = merged(table)
+    total = joined(table)
     assert len(total) == size
     return (total / total[0]).reshape((2 * order + 1,) * len(variables))
 
@@ -124,10 +138,10 @@ def moments_table(tensor: np.ndarray, spark) -> DataFrame:
 
 
 def moments_by_leaf(df: DataFrame, order: int, boxes: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """leaf, count, moments (flat array of means) of each leaf that has rows; df as for partial_moments."""
+    """leaf, count, moments (flat array of means) of each leaf that has rows; df as for summed_moments."""
 
     def mean(table: pa.Table) -> pa.Table:
-        total = merged(table)
+        total = joined(table)
         return pa.table({"leaf": table.column("leaf")[:1], "count": pa.array([round(total[0])], pa.int64()), "moments": pa.array([total / total[0]], pa.list_(pa.float64()))})
 
-    return partial_moments(df, order, boxes).groupBy("leaf").applyInArrow(mean, "leaf long, count long, moments array<double>")
+    return summed_moments(df, order, boxes).groupBy("leaf").applyInArrow(mean, "leaf long, count long, moments array<double>")

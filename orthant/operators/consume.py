@@ -12,6 +12,8 @@ from .routing import assign, whole
 
 #: Buckets by the first three hex digits of a hash, for global ranks without a global sort in one task.
 _DIGITS = 3
+#: Rows of a leaf that one task ranks, about; larger leaves are ranked in buckets of their order.
+RANKED = 1 << 20
 
 
 def order_key(key: Sequence[str] | None, seed: int) -> Column:
@@ -21,11 +23,16 @@ def order_key(key: Sequence[str] | None, seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in key], F.lit(str(seed))))
 
 
-def leaf_counts(df: DataFrame, tree: SplitTree) -> DataFrame:
-    """leaf, count of the leaves that have rows, in order of leaves."""
+def counts_by_leaf(df: DataFrame, tree: SplitTree) -> DataFrame:
+    """leaf, count of the leaves that have rows, in no order."""
     columns = [F.col(f"`{v}`") for v in dict.fromkeys(tree.variables)]
     rows = assign(whole(df.select(*columns) if columns else df.select(F.lit(0).alias("__x")), tree.variables), tree)
-    return rows.groupBy("leaf").agg(F.count("*").alias("count")).orderBy("leaf")
+    return rows.groupBy("leaf").agg(F.count("*").alias("count"))
+
+
+def leaf_counts(df: DataFrame, tree: SplitTree) -> DataFrame:
+    """leaf, count of the leaves that have rows, in order of leaves."""
+    return counts_by_leaf(df, tree).orderBy("leaf")
 
 
 def precision_of(counts: DataFrame, expected_leaves: int | None = None) -> DataFrame:
@@ -44,21 +51,45 @@ def precision_of(counts: DataFrame, expected_leaves: int | None = None) -> DataF
 
 
 def precision(df: DataFrame, tree: SplitTree, expected_leaves: int | None = None) -> float | None:
-    return precision_of(leaf_counts(df, tree), expected_leaves).first()["precision"]
+    return precision_of(counts_by_leaf(df, tree), expected_leaves).first()["precision"]
+
+
+def ranked_in_leaf(df: DataFrame, tree: SplitTree, key: Sequence[str] | None, seed: int) -> tuple[DataFrame, int]:
+    """The rows with leaf and __k, their rank (from 1) in a random order of their leaf, up to the smallest leaf's count; and that count.
+
+    Leaves of more than RANKED rows are cut into buckets of the order: a
+    bucket's ranks begin after the rows of earlier ones, and buckets beyond the
+    smallest leaf's count are not sorted at all.
+    """
+    sizes = counts_by_leaf(df, tree).agg(F.min("count").alias("least"), F.max("count").alias("most")).first()
+    least, digits = sizes["least"] or 0, 0
+    while (sizes["most"] or 0) > RANKED * 16**digits and digits < 8:
+        digits += 1
+    rows = assign(whole(df, tree.variables), tree)
+    if not digits:
+        rank = F.row_number().over(Window.partitionBy("leaf").orderBy(order_key(key, seed)))
+        return rows.withColumn("__k", rank).where(F.col("__k") <= least), least
+    order = order_key(key, seed) if key is not None else F.md5(F.concat_ws("|", F.rand(seed).cast("string"), F.monotonically_increasing_id().cast("string")))
+    rows = rows.withColumn("__o", order).withColumn("__b", F.substring("__o", 1, digits))
+    before = Window.partitionBy("__l").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy(F.col("leaf").alias("__l"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))  # one row for about RANKED rows
+    buckets = buckets.select("__l", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__skip")).where(F.col("__skip") < least)
+    ranked = rows.join(buckets, (F.col("leaf") == F.col("__l")) & (F.col("__b") == F.col("__c")))
+    rank = F.row_number().over(Window.partitionBy("leaf", "__b").orderBy("__o"))
+    return ranked.withColumn("__k", (rank + F.col("__skip")).cast("long")).where(F.col("__k") <= least).drop("__o", "__b", "__l", "__c", "__skip"), least
 
 
 def balanced_cells(df: DataFrame, tree: SplitTree, key: Sequence[str] | None = None, seed: int = 0) -> DataFrame:
     """All columns and `leaf`: as many rows of every non-empty leaf as the smallest one has; with a key the same rows on every run."""
-    least = leaf_counts(df, tree).agg(F.min("count")).first()[0] or 0
-    rank = F.row_number().over(Window.partitionBy("leaf").orderBy(order_key(key, seed)))
-    return assign(whole(df, tree.variables), tree).withColumn("__k", rank).where(F.col("__k") <= least).drop("__k")
+    return ranked_in_leaf(df, tree, key, seed)[0].drop("__k")
 
 
 def representative_samples(df: DataFrame, tree: SplitTree, seed: int = 0, key: Sequence[str] | None = None) -> DataFrame:
-    """All columns and `sample`: each sample has one row of every non-empty leaf; rows beyond the smallest leaf's count are left out."""
-    cells = balanced_cells(df, tree, key, seed)
-    rank = F.row_number().over(Window.partitionBy("leaf").orderBy(order_key(key, seed + 1)))
-    return cells.withColumn("sample", (rank - 1).cast("long")).drop("leaf")
+    """All columns and `sample`: each sample has one row of every non-empty leaf; rows beyond the smallest leaf's count are left out.
+
+    A row's rank in the random order of its leaf is the number of its sample.
+    """
+    return ranked_in_leaf(df, tree, key, seed)[0].withColumn("sample", (F.col("__k") - 1).cast("long")).drop("__k", "leaf")
 
 
 def global_rank(df: DataFrame, key: Sequence[str] | None, seed: int, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.moments import check_budget, merged, moments, order_of, partial_moments
+from ..functions.moments import check_budget, joined, moments, order_of, summed_moments
 from ..functions.solver import solve
 from ..plans.tree import SplitTree, batches, schedule
 from .quantile import deepen, with_bounds
@@ -63,11 +63,11 @@ def harmonic_tree(df: DataFrame, variables: Sequence[str], j: Sequence[int] = (2
             shape = (2 * order + 1,) * len(used)
 
             def cut(table):  # sent out by collect() below, within this round
-                leaf, total = table.column("leaf")[0].as_py(), merged(table)
+                leaf, total = table.column("leaf")[0].as_py(), joined(table)
                 found = _points((total / total[0]).reshape(shape), axes, *boxes[leaf], leaf)
                 return pa.table([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["d", "node", "point"])
 
-            part = partial_moments(points, order, boxes)
-            rows = [tuple(r) for r in part.groupBy("leaf").applyInArrow(cut, "d int, node long, point double").collect()]  # split points
+            sums = summed_moments(points, order, boxes)
+            rows = [tuple(r) for r in sums.groupBy("leaf").applyInArrow(cut, "d int, node long, point double").collect()]  # split points
         tree = _grow(tree, now, rows)
     return deepen(df, tree, plan[depth:])

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tree import SplitTree, schedule
 from .routing import assign, value, whole
 
+#: Parts of a range that are counted in a pass, passes at most, and values of a node whose distinct ones are counted at last.
+BINS, PASSES, FEW = 1024, 8, 1 << 20
+_LARGEST = sys.float_info.max
+
 
 def bounds(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """One row: least and greatest value of each variable, as lower_<variable> and upper_<variable>."""
@@ -43,26 +48,84 @@ def level_points(df: DataFrame, tree: SplitTree, variable: str, median: Column)
     return {r["__leaf"]: r["point"] for r in rows}
 
 
-def _grow(df: DataFrame, variables: Sequence[str], depth: int, median) -> SplitTree:
+def exact_points(df: DataFrame, tree: SplitTree, variable: str, few: int = FEW) -> dict[int, float | None]:
+    """The exact median of each node of the level after the tree: the middle value, or the midpoint of the two.
+
+    Every pass counts, for each node, the values in BINS equal parts of the
+    range that is known to hold its middle values, and narrows the range to
+    the parts that do. When at most `few` values are left in it, or nothing
+    but neighbouring floats, its distinct values are counted and the middle
+    ones picked. All are partial and final aggregates: no task holds a node's
+    values. NaN counts as larger than any number.
+    """
+    spark, x = df.sparkSession, F.when(F.isnan("__x"), None).otherwise(F.greatest(F.least("__x", F.lit(_LARGEST)), F.lit(-_LARGEST)))
+    rows = assign(whole(df, tree.variables), tree, "__leaf").select("__leaf", value(variable).alias("__x")).where("__x is not null").withColumn("__f", x)
+    bounds = rows.groupBy("__leaf").agg(F.count("*").alias("n"), F.count("__f").alias("m"), F.min("__f").alias("lo"), F.max("__f").alias("hi"), F.max(F.col("__x").isNull() | F.isnan("__x")).alias("nan"))
+    state = {}  # by leaf: first rank of the range, its bounds, ranks of the middle values
+    out: dict[int, float | None] = {}
+    for r in bounds.collect():  # 2**depth rows at most
+        low, high = (r["n"] - 1) // 2, r["n"] // 2
+        if high >= r["m"]:
+            out[r["__leaf"]] = float("nan")
+        else:
+            state[r["__leaf"]] = [0, r["lo"], r["hi"], low, high, r["m"]]
+    for _ in range(PASSES):
+        wide = {leaf: s for leaf, s in state.items() if s[5] > few and s[1] < s[2]}
+        if not wide:
+            break
+        table = spark.createDataFrame([(leaf, s[1], s[2]) for leaf, s in wide.items()], "__at long, __lo double, __hi double")
+        step = F.col("__hi") / BINS - F.col("__lo") / BINS
+        part = F.floor((F.col("__f") / BINS - F.col("__lo") / BINS) / F.nullif(step, F.lit(0.0)) * BINS)
+        part = F.coalesce(F.least(part, F.lit(BINS - 1)), F.lit(0)).cast("int")  # bounds that are too near for parts: one part
+        inside = rows.join(_small(table), F.col("__leaf") == F.col("__at")).where("__f between __lo and __hi")
+        counts: dict[int, list[tuple]] = {}
+        for r in inside.groupBy("__leaf", part.alias("part")).agg(F.count("*").alias("n"), F.min("__f").alias("lo"), F.max("__f").alias("hi")).collect():  # BINS rows a node at most
+            counts.setdefault(r["__leaf"], []).append((r["part"], r["n"], r["lo"], r["hi"]))
+        for leaf, found in counts.items():
+            before, s = state[leaf][0], state[leaf]
+            held = []
+            for _, n, lo, hi in sorted(found):
+                if before + n > s[3] and before <= s[4]:
+                    held.append((before, n, lo, hi))
+                before += n
+            state[leaf] = [held[0][0], held[0][2], held[-1][3], s[3], s[4], sum(h[1] for h in held)]
+    if state:
+        table = spark.createDataFrame([(leaf, *s[1:3], s[0], *s[3:5]) for leaf, s in state.items()], "__at long, __lo double, __hi double, __before long, __low long, __high long")
+        inside = rows.join(_small(table), F.col("__leaf") == F.col("__at")).where("__f between __lo and __hi")
+        held = inside.groupBy("__leaf", "__x").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("__before", "__low", "__high")])
+        upto = F.col("__before") + F.sum("n").over(Window.partitionBy("__leaf").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+        held = held.withColumn("upto", upto)
+        picked = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("__x")))
+        for r in held.groupBy("__leaf").agg(picked("__low").alias("a"), picked("__high").alias("b")).collect():
+            out[r["__leaf"]] = r["a"] if r["a"] == r["b"] else (r["a"] + r["b"]) / 2
+    return out
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table of nodes, broadcast: the driver made it from 2**depth rows."""
+    return F.broadcast(table)
+
+
+def _grow(df: DataFrame, variables: Sequence[str], depth: int, points) -> SplitTree:
     df = df.select(*[F.col(f"`{v}`") for v in dict.fromkeys(variables)])
     tree = with_bounds(df, variables)
     for variable in schedule(variables, depth):
-        tree = tree.grown(variable, level_points(df, tree, variable, median(value(variable))))
+        tree = tree.grown(variable, points(df, tree, variable))
     return tree
 
 
 def canonical_tree(df: DataFrame, variables: Sequence[str], depth: int | None = None, accuracy: int = 100) -> SplitTree:
     """Cut at approximate medians (relative rank error at most 1 / accuracy); points are values of the data."""
-    return _grow(df, variables, len(variables) if depth is None else depth, lambda x: F.percentile_approx(x, 0.5, F.lit(accuracy)))
+    return _grow(df, variables, len(variables) if depth is None else depth, lambda df, tree, v: level_points(df, tree, v, F.percentile_approx(value(v), 0.5, F.lit(accuracy))))
 
 
 def exact_tree(df: DataFrame, variables: Sequence[str], depth: int | None = None) -> SplitTree:
-    """Cut at exact medians, the midpoint of two middle values; every level sorts its values, so this is for data of moderate size."""
-    return _grow(df, variables, len(variables) if depth is None else depth, F.median)
+    """Cut at exact medians, the midpoint of two middle values; every level takes two passes, or a few more where nodes are large."""
+    return _grow(df, variables, len(variables) if depth is None else depth, exact_points)
 
 
 def deepen(df: DataFrame, tree: SplitTree, variables: Sequence[str]) -> SplitTree:
     """The tree with one more level of exact medians for each of the variables, in order."""
     for variable in variables:
-        tree = tree.grown(variable, level_points(df, tree, variable, F.median(value(variable))))
+        tree = tree.grown(variable, exact_points(df, tree, variable))
     return tree

@@ -14,6 +14,13 @@ RESULTS = [
     for depth in (4, 6)
     if (parameter, k) != ("J = [2, 3, 3]", 12)
 ]
+#: Entries of the kernel queries, and odd frequencies of those with products.
+KERNEL, KERNEL_ORDER = 5, 4
+#: What all points of a seed give, as seed, points, points at the edge of the extent, means of x, y and xy, least and greatest coordinate.
+SEEDS: dict[str, list[tuple]] = {
+    "generate_blobs": [(0, 1048576, 52, 49.674865, 49.608652, 2505.330915, 0.0, 100.0), (1, 1048576, 42, 49.655003, 49.610885, 2506.279804, 0.0, 100.0)],
+    "generate_normal": [(0, 1048576, 0, -0.00076, 0.000848, 0.498503, -4.844881, 5.173453), (1, 1048576, 0, 6.5e-05, -0.000671, 0.500635, -4.872264, 4.860898)],
+}
 LABELS = (("accuracy = 10", "coarse"), ("accuracy = 100", "fine"))
 _VALUES = "r(algorithm, distribution, size, parameter, depth, precision, runtime) AS (VALUES " + ", ".join(f"('{a}', '{d}', '{s}', '{p}', {n}::INT, {x}::DOUBLE, {t}::DOUBLE)" for a, d, s, p, n, x, t in RESULTS) + ")"
 
@@ -61,29 +68,32 @@ def _bisect(name: str, moments: str, nodes: str, steps: int = 50) -> str:
 
 
 def harmonic_ctes(rows: str, key: str, axes: Sequence[str], order: int, depth: int) -> str:
-    """CTEs of a two-variable tree from one tensor: b (bounds), p<d> (node, unit point), l<depth> (rows with nodes), s<d> (node, point)."""
-    x, y = axes
+    """CTEs of a tree from one tensor: b (bounds), p<d> (node, unit point), l<depth> (rows with nodes), s<d> (node, point)."""
+    dims = range(len(axes))
+    each = lambda form: ", ".join(form.format(i=i, a=axes[i]) for i in dims)
+    joins = " ".join(f"JOIN e{i} USING (id)" for i in dims[1:])
     out = [
-        f"o AS (SELECT {key}, {x}::DOUBLE AS x, {y}::DOUBLE AS y FROM ({rows}))",
-        "b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM o)",
-        f"z AS MATERIALIZED (SELECT {key}, (x - x0) / (x1 - x0) AS u, (y - y0) / (y1 - y0) AS v FROM o, b)",
+        f"o AS (SELECT {key} AS id, {each('{a}::DOUBLE AS x{i}')} FROM ({rows}))",
+        f"b AS (SELECT {each('min(x{i}) AS lo{i}, max(x{i}) AS hi{i}')} FROM o)",
+        f"z AS MATERIALIZED (SELECT id, {each('(x{i} - lo{i}) / (hi{i} - lo{i}) AS z{i}')} FROM o, b)",
         _harmonics(order),
-        f"bu AS MATERIALIZED (SELECT {key}, w, k, {_basis('u')} AS e FROM z, h)",
-        f"bv AS MATERIALIZED (SELECT {key}, w, k, {_basis('v')} AS e FROM z, h)",
-        f"t AS MATERIALIZED (SELECT bu.w AS w0, bu.k AS k0, bv.w AS w1, bv.k AS k1, avg(bu.e * bv.e) AS t FROM bu JOIN bv USING ({key}) GROUP BY ALL)",
-        "c0 AS (SELECT 0::BIGINT AS node, 0::DOUBLE AS u0, 1::DOUBLE AS u1, 0::DOUBLE AS v0, 1::DOUBLE AS v1)",
-        f"l0 AS (SELECT {key}, x, y, 0::BIGINT AS node FROM o)",
+        *[f"e{i} AS MATERIALIZED (SELECT id, w, k, {_basis(f'z{i}')} AS e FROM z, h)" for i in dims],
+        f"t AS MATERIALIZED (SELECT {each('e{i}.w AS w{i}, e{i}.k AS k{i}')}, avg({' * '.join(f'e{i}.e' for i in dims)}) AS t FROM e0 {joins} GROUP BY ALL)",
+        f"c0 AS (SELECT 0::BIGINT AS node, {each('0::DOUBLE AS a{i}, 1::DOUBLE AS c{i}')})",
+        "l0 AS (SELECT *, 0::BIGINT AS node FROM o)",
     ]
     for d in range(depth):
-        own, other, i, j, column = ("u", "v", 0, 1, "x") if d % 2 == 0 else ("v", "u", 1, 0, "y")
+        i = d % len(axes)
+        weights = " * ".join(["t", *(f"({_g(f'w{j}', f'k{j}', f'a{j}', f'c{j}')})" for j in dims if j != i)])
+        half = lambda side, i=i: ", ".join(f"unit AS {e}" if e == f"{side}{i}" else e for j in dims for e in (f"a{j}", f"c{j}"))
         out += [
-            f"m{d} AS MATERIALIZED (SELECT node, w{i} AS w, k{i} AS k, sum(t * ({_g(f'w{j}', f'k{j}', f'{other}0', f'{other}1')})) AS m FROM t, c{d} GROUP BY ALL)",
-            f"n{d} AS (SELECT node, {own}0 AS a, {own}1 AS c FROM c{d})",
+            f"m{d} AS MATERIALIZED (SELECT node, w{i} AS w, k{i} AS k, sum({weights}) AS m FROM t, c{d} GROUP BY ALL)",
+            f"n{d} AS (SELECT node, a{i} AS a, c{i} AS c FROM c{d})",
             _bisect(f"r{d}", f"m{d}", f"n{d}"),
             f"p{d} AS MATERIALIZED (SELECT node, (lo + hi) / 2 AS unit FROM r{d} WHERE i = 50)",
-            f"s{d} AS (SELECT node, {column}0 + unit * ({column}1 - {column}0) AS point FROM p{d}, b)",
-            f"c{d + 1} AS (SELECT node * 2 AS node, " + ", ".join("unit AS " + e if e == f"{own}1" else e for e in ("u0", "u1", "v0", "v1")) + f" FROM c{d} JOIN p{d} USING (node) UNION ALL SELECT node * 2 + 1, " + ", ".join("unit" if e == f"{own}0" else e for e in ("u0", "u1", "v0", "v1")) + f" FROM c{d} JOIN p{d} USING (node))",
-            f"l{d + 1} AS MATERIALIZED (SELECT {key}, x, y, l.node * 2 + ({column} > point)::BIGINT AS node FROM l{d} l JOIN s{d} s ON l.node = s.node)",
+            f"s{d} AS (SELECT node, lo{i} + unit * (hi{i} - lo{i}) AS point FROM p{d}, b)",
+            f"c{d + 1} AS (SELECT node * 2 AS node, {half('c')} FROM c{d} JOIN p{d} USING (node) UNION ALL SELECT node * 2 + 1, {half('a')} FROM c{d} JOIN p{d} USING (node))",
+            f"l{d + 1} AS MATERIALIZED (SELECT l.* EXCLUDE (node), l.node * 2 + (x{i} > point)::BIGINT AS node FROM l{d} l JOIN s{d} s ON l.node = s.node)",
         ]
     return ",\n".join(out)
 
@@ -117,7 +127,11 @@ def _precision(depth: int) -> str:
     return f"SELECT CASE WHEN off = 0 THEN 'inf'::DOUBLE ELSE round(-ln(off / total), 9) END AS precision FROM (SELECT sum(abs(n - mean)) AS off, sum(n) AS total FROM (SELECT n, avg(n) OVER () AS mean FROM (SELECT count(*) AS n FROM l{depth} GROUP BY node)))"
 
 
-def queries(axes: Sequence[str], key: str, depth: int, j: Sequence[int], harmonic_depth: int) -> dict[str, str]:
+def _balance(most: str = "orders") -> str:
+    return f"SELECT count(*)::BIGINT AS rows, true AS balanced FROM {most}"
+
+
+def queries(axes: Sequence[str], key: str, depth: int, j: Sequence[int], j3: Sequence[int], harmonic_depth: int) -> dict[str, str]:
     x, y = axes
     rows, order = f"SELECT {key}, {x}, {y} FROM orders", prod(j)
     sketch = "quantile_disc({x}, 0.5)"
@@ -140,7 +154,7 @@ def queries(axes: Sequence[str], key: str, depth: int, j: Sequence[int], harmoni
         "harmonic_leaf_counts": f"WITH RECURSIVE {harmonic_ctes(rows, key, axes, order, harmonic_depth)} {_counts(harmonic_depth)}",
         "harmonic_batched_leaf_counts": f"WITH RECURSIVE {batched_ctes(rows, key, axes, order, harmonic_depth)} {_counts(harmonic_depth)}",
     }
-    local = [f"s{d} AS (SELECT node, median({e}) AS point FROM l{d} GROUP BY node), l{d + 1} AS (SELECT {key}, x, y, l.node * 2 + ({e} > point)::BIGINT AS node FROM l{d} l JOIN s{d} s ON l.node = s.node)" for d, e in ((harmonic_depth, "x"), (harmonic_depth + 1, "y"))]
+    local = [f"s{d} AS (SELECT node, median({e}) AS point FROM l{d} GROUP BY node), l{d + 1} AS (SELECT l.* EXCLUDE (node), l.node * 2 + ({e} > point)::BIGINT AS node FROM l{d} l JOIN s{d} s ON l.node = s.node)" for d, e in ((harmonic_depth, "x0"), (harmonic_depth + 1, "x1"))]
     out["harmonic_local_depth"] = f"WITH RECURSIVE {harmonic_ctes(rows, key, axes, order, harmonic_depth)}, {', '.join(local)} {_counts(harmonic_depth + 2)}"
     # cells by walking down the levels
     cells = [f"c0 AS (SELECT 0::BIGINT AS node, min({x})::DOUBLE AS x0, max({x})::DOUBLE AS x1, min({y})::DOUBLE AS y0, max({y})::DOUBLE AS y1 FROM orders)"]
@@ -156,7 +170,7 @@ def queries(axes: Sequence[str], key: str, depth: int, j: Sequence[int], harmoni
     hash_ = lambda seed: f"md5({key} || '|{seed}')"
     cut = f"b AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY {hash_(1)}) AS k FROM l4), e AS (SELECT * FROM b WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM l4 GROUP BY node)))"
     out["balanced_cells"] = f"WITH {canonical(4)}, {cut} SELECT {key}, node AS leaf FROM e"
-    out["representative_samples"] = f"WITH {canonical(4)}, {cut} SELECT {key}, row_number() OVER (PARTITION BY node ORDER BY {hash_(2)}) - 1 AS sample FROM e"
+    out["representative_samples"] = f"WITH {canonical(4)}, {cut} SELECT {key}, k - 1 AS sample FROM e"
     out["random_samples"] = f"WITH n AS (SELECT greatest(1, count(*) // 50) AS n FROM orders), r AS (SELECT {key}, row_number() OVER (ORDER BY {hash_(1)}) % n AS i FROM orders, n) SELECT {key}, row_number() OVER (PARTITION BY i ORDER BY {hash_(2)}) - 1 AS sample FROM r"
     out["stratified_sample"] = f"WITH {canonical(4)} SELECT {key}, leaf FROM (SELECT {key}, node AS leaf, row_number() OVER (PARTITION BY node ORDER BY {hash_(1)}) AS k FROM l4) WHERE k <= 100"
     sampled = [f"l0 AS (SELECT *, 0::BIGINT AS node FROM ({rows}))"]
@@ -175,6 +189,34 @@ def queries(axes: Sequence[str], key: str, depth: int, j: Sequence[int], harmoni
         f"SELECT leaf, count(*) AS count, pos::INT AS pos, round(avg({_basis('z')}), 8) + 0.0 AS moment FROM (SELECT w.leaf, {z} AS z FROM l2 JOIN w ON l2.node = w.leaf), h GROUP BY leaf, pos"
     )
     out["box_filter"] = f"SELECT {key} FROM orders WHERE {x} BETWEEN 100000 AND 200000 AND {y} BETWEEN 100 AND 700"
+    default = prod((2, 4, 4))
+    out["harmonic_default_splits"] = f"WITH RECURSIVE {harmonic_ctes(rows, key, axes, default, 2)} SELECT depth, variable, node, round(point, 4) AS point FROM ({union_splits(axes, 2)})"
+    out["harmonic_default_counts"] = f"WITH RECURSIVE {harmonic_ctes(rows, key, axes, default, 2)} {_counts(2)}"
+    out["harmonic_default_batched"] = f"WITH RECURSIVE {batched_ctes(rows, key, axes, default, 4)} {_counts(4)}"
+    three = (*axes, key)
+    out["harmonic_three_variables"] = f"WITH RECURSIVE {harmonic_ctes(rows, key, three, prod(j3), 3)} SELECT depth, variable, node, round(point, 4) AS point FROM ({union_splits(three, 3)})"
+    out |= {name: _balance() for name in ("harmonic_deep_balance", "canonical_sketch_balance", "sampled_tree_random")}
+    out["canonical_sketch_error"] = "SELECT accuracy::INT AS accuracy, variable, true AS within FROM (VALUES (100), (1000)) a(accuracy), (VALUES " + ", ".join(f"('{a}')" for a in axes) + ") v(variable)"
+    out["sampled_by_leaf"] = f"WITH {canonical(4)} SELECT node AS leaf, least(count(*), 40) AS count FROM l4 GROUP BY node"
+    out["random_representatives"] = f"WITH {canonical(4)}, n AS (SELECT count(*) AS n FROM l4 GROUP BY node) SELECT unnest(range(min(n))) AS sample, count(*) AS rows FROM n"
+    out["random_sample_sizes"] = "WITH n AS (SELECT count(*) AS c, greatest(1, count(*) // 50) AS n FROM orders) SELECT sample, least(n, c - sample * n) AS rows FROM (SELECT n, c, unnest(range((c + n - 1) // n)) AS sample FROM n)"
+    out["points_round_trip"] = f"SELECT {key}, {x} FROM orders"
+    out["results_round_trip"] = f"WITH {_VALUES} SELECT *, 1::INT AS fold FROM r"
+    grid = " UNION ALL ".join(f"SELECT {d}::INT AS depth, precision FROM ({_precision(d)})" for d in (2, 3))
+    out["bench_run"] = f"WITH {canonical(3)} SELECT 'canonical' AS algorithm, 'orders' AS distribution, (SELECT '2^' || floor(log2(count(*)))::INT FROM orders) AS size, parameter, depth, precision, fold::INT AS fold, true AS timed FROM ({grid}), (VALUES ('accuracy = 1000000'), ('accuracy = 10000000')) p(parameter), (VALUES (1), (2)) f(fold)"
+    out |= {name: "SELECT seed::BIGINT AS seed, points::BIGINT AS points, at_edge::BIGINT AS at_edge, mean_x::DOUBLE AS mean_x, mean_y::DOUBLE AS mean_y, mean_xy::DOUBLE AS mean_xy, least::DOUBLE AS least, greatest::DOUBLE AS greatest FROM (VALUES " + ", ".join(map(str, values)) + ") v(seed, points, at_edge, mean_x, mean_y, mean_xy, least, greatest)" for name, values in SEEDS.items()}
+    angles = lambda n, form: f"SELECT {key}, j::INT AS j, round({form}, 4) + 0.0 AS value FROM (SELECT {key}, o_custkey / 1000 AS x FROM orders), range({n}) r(j)"
+    wide = prod(j3)
+    out |= {
+        "kernel_odd_powers": angles(KERNEL, "cos((2 * j + 1) * x)"),
+        "kernel_powers": angles(KERNEL, "cos(j * x)"),
+        "kernel_sine_products": angles(KERNEL, "pow(sin(x), 2 * j + 1)"),
+        "kernel_signs": angles(KERNEL, "sin((2 * j + 1) * x)"),
+        "kernel_cosine_tensor": angles(wide, "cos((2 * j + 1) * x)"),
+        "kernel_sine_tensor": angles(wide, "sin((2 * j + 1) * x)"),
+        "kernel_power_tensor": angles(2 * wide, "CASE WHEN j % 2 = 0 THEN cos((j + 1) * x) ELSE sin(j * x) END"),
+        "kernel_moments": f"WITH {_harmonics(KERNEL_ORDER)} SELECT a.w::INT AS w0, a.k AS k0, c.w::INT AS w1, c.k AS k1, round(avg(({_basis('u').replace('w *', 'a.w *').replace('CASE k', 'CASE a.k')}) * ({_basis('v').replace('w *', 'c.w *').replace('CASE k', 'CASE c.k')})), 6) + 0.0 AS moment FROM (SELECT {unit(x)} AS u, {unit(y)} AS v FROM orders), h a, h c GROUP BY ALL",
+    }
     means = f"WITH {_VALUES}, g AS (SELECT parameter, pow(2, substr(size, 3)::DOUBLE) AS n, avg(runtime) AS runtime FROM r GROUP BY ALL)"
     model = f"{means}, f AS (SELECT parameter, regr_slope(runtime, n * ln(n)) AS a, regr_intercept(runtime, n * ln(n)) AS b FROM g GROUP BY parameter HAVING count(*) >= 3)"
     out |= {

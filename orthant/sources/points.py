@@ -29,7 +29,7 @@ def write_points(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def _generate(spark: SparkSession, power: int, rows: int, draw, partitions: int | None) -> DataFrame:
+def _generate(spark: SparkSession, power: int, rows: int, draw, partitions: int | None, named: bool) -> DataFrame:
     seeds = spark.range(0, 1 << power, 1, partitions or min(1 << power, 4096))
 
     def run(batches):
@@ -38,9 +38,10 @@ def _generate(spark: SparkSession, power: int, rows: int, draw, partitions: int
                 points = draw(seed, rows)
                 for lo in range(0, rows, _CHUNK):
                     part = points[lo : lo + _CHUNK]
-                    yield pa.RecordBatch.from_pydict({"x": pa.array(part[:, 0]), "y": pa.array(part[:, 1])})
+                    own = {"seed": pa.array(np.full(len(part), seed))} if named else {}
+                    yield pa.RecordBatch.from_pydict(own | {"x": pa.array(part[:, 0]), "y": pa.array(part[:, 1])})
 
-    return seeds.mapInArrow(run, SCHEMA)
+    return seeds.mapInArrow(run, ("seed long, " if named else "") + SCHEMA)
 
 
 def blob_layout() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,24 +53,26 @@ def blob_layout() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return centres, spreads, weights / weights.sum()
 
 
-def blobs(spark: SparkSession, power: int = 0, rows: int = ROWS, partitions: int | None = None) -> DataFrame:
-    """2**power seeds of `rows` points each: isotropic clusters clipped to the extent, the last two in a hundred uniform noise."""
+def blobs(spark: SparkSession, power: int = 0, rows: int = ROWS, partitions: int | None = None, seeds: bool = False) -> DataFrame:
+    """2**power seeds of `rows` points each: isotropic clusters clipped to the extent, the last two in a hundred, one at least, uniform noise; with `seeds` also the seed."""
 
     def draw(seed: int, n: int) -> np.ndarray:
         centres, spreads, weights = blob_layout()
         rng = np.random.default_rng(seed)
-        noise = int(n * NOISE)
+        noise = min(n, max(1, int(n * NOISE)))
         at = rng.choice(CLUSTERS, n - noise, p=weights)
-        clustered = np.clip(rng.normal(centres[at], spreads[at][:, None]), *EXTENT)
-        return np.concatenate([clustered, rng.uniform(*EXTENT, (noise, 2))])
+        # one variable after the other: this order of draws fixes the points of a seed
+        clustered = [np.clip(rng.normal(centres[at, v], spreads[at]), *EXTENT) for v in (0, 1)]
+        spread = [rng.uniform(*EXTENT, noise) for _ in (0, 1)]
+        return np.concatenate([np.stack(clustered, 1), np.stack(spread, 1)])
 
-    return _generate(spark, power, rows, draw, partitions)
+    return _generate(spark, power, rows, draw, partitions, seeds)
 
 
-def normal(spark: SparkSession, power: int = 0, rows: int = ROWS, partitions: int | None = None) -> DataFrame:
-    """2**power seeds of `rows` points each of the correlated bivariate normal distribution."""
+def normal(spark: SparkSession, power: int = 0, rows: int = ROWS, partitions: int | None = None, seeds: bool = False) -> DataFrame:
+    """2**power seeds of `rows` points each of the correlated bivariate normal distribution; with `seeds` also the seed."""
 
     def draw(seed: int, n: int) -> np.ndarray:
         return np.random.RandomState(seed).multivariate_normal(MEAN, COVARIANCE, n)
 
-    return _generate(spark, power, rows, draw, partitions)
+    return _generate(spark, power, rows, draw, partitions, seeds)
