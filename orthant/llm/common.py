@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,72 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shared_dir
+
 #: Rows that become Python objects at once.
 ROWS = 1000
-#: Scratch folders of this process that were not removed yet.
-_open: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a folder of its own only where that is unset."""
-    sc = spark.sparkContext
-    set_dir = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="orthant-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for path, spark in list(_open.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may already be gone at exit
-            pass
-
-
-class Scratch:
-    """Intermediate Parquet tables of one run, below the shared folder.
-
-    Writing a table cuts the lineage, so a lost executor costs one step at
-    most. Tables that a returned DataFrame still reads stay until the process
-    ends; the others are dropped as soon as the next step is written.
-    """
-
-    def __init__(self, spark: SparkSession, what: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-        _open[self.root] = spark
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def put(self, content: bytes, name: str) -> str:
-        """Write a small file into the folder; returns its path."""
-        jvm, path = self.spark.sparkContext._jvm, f"{self.root}/{name}"
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        out = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(p)
-        try:
-            out.write(bytearray(content))
-        finally:
-            out.close()
-        return path
-
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
-
-
 def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The mapInArrow function that applies fn to ROWS rows at a time, so that only so many texts are Python strings at once."""
 
@@ -128,3 +63,6 @@ def share(column: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["ROWS", "Scratch", "list_column", "over_batches", "share", "shared_dir", "sorted_groups", "table"]
