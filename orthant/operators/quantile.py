@@ -60,7 +60,7 @@ def exact_points(df: DataFrame, tree: SplitTree, variable: str, few: int = FEW)
     """
     spark, x = df.sparkSession, F.when(F.isnan("__x"), None).otherwise(F.greatest(F.least("__x", F.lit(_LARGEST)), F.lit(-_LARGEST)))
     rows = assign(whole(df, tree.variables), tree, "__leaf").select("__leaf", value(variable).alias("__x")).where("__x is not null").withColumn("__f", x)
-    bounds = rows.groupBy("__leaf").agg(F.count("*").alias("n"), F.count("__f").alias("m"), F.min("__f").alias("lo"), F.max("__f").alias("hi"), F.max(F.col("__x").isNull() | F.isnan("__x")).alias("nan"))
+    bounds = rows.groupBy("__leaf").agg(F.count("*").alias("n"), F.count("__f").alias("m"), F.min("__f").alias("lo"), F.max("__f").alias("hi"))
     state = {}  # by leaf: first rank of the range, its bounds, ranks of the middle values
     out: dict[int, float | None] = {}
     for r in bounds.collect():  # 2**depth rows at most

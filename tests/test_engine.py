@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthant.operators import consume
+from orthant import frames
+from orthant.functions import moments
+from orthant.operators import consume, quantile
 from orthant.operators.harmonic import harmonic_tree
 from orthant.operators.quantile import canonical_tree, exact_tree, normalize
 from orthant.operators.routing import INLINE, assign
@@ -170,3 +172,60 @@ def test_results(spark, tmp_path):
     made = spark.createDataFrame([("p", float(n), 3e-6 * n * math.log(n) + 2) for n in (1e3, 1e4, 1e5)] + [("q", 10.0, 1.0)], "parameter string, n double, runtime double")
     model = report.fit(made).collect()
     assert len(model) == 1 and model[0]["a"] == pytest.approx(3e-6) and model[0]["b"] == pytest.approx(2)
+
+
+@pytest.mark.parametrize("few", [1, 4, 1 << 20])
+def test_exact_points_equal_sorted_medians(spark, few):
+    rng = np.random.default_rng(7)
+    groups = [rng.normal(size=101), rng.lognormal(0, 9, 60), np.repeat([1.0, 2.0, 3.0], [50, 1, 49]), np.array([5.0]), np.array([1.0, 4.0]), np.full(40, -2.5), rng.integers(0, 4, 77).astype(float), np.array([-1.7e308, 1.7e308, 0.0, 1e-320, 2e-320, 3e-320])]
+    rows = [(float(2 * g), float(v)) for g, x in enumerate(groups) for v in x]
+    df = spark.createDataFrame(rows, "g double, x double").repartition(3)
+    tree = SplitTree(("g", "g", "g"), ((7.0,), (3.0, 11.0), (1.0, 5.0, 9.0, 13.0)))
+    got = quantile.exact_points(df, tree, "x", few)
+    assert {k: v for k, v in got.items()} == {g: float(np.median(x)) for g, x in enumerate(groups)}
+
+
+def test_exact_points_of_nan_and_null(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(v,) for v in (nan, 1.0, None, 2.0, inf, -inf, 3.0)], "x double")
+    assert quantile.exact_points(df, SplitTree(), "x", 1) == {0: 2.5}
+    assert quantile.exact_points(df.where("isnan(x) or x > 2.5"), SplitTree(), "x") == {0: math.inf}
+    assert math.isnan(quantile.exact_points(df.where("isnan(x)"), SplitTree(), "x")[0])
+    assert quantile.exact_points(df.where("x > 3 and not isnan(x)"), SplitTree(), "x") == {0: math.inf}
+
+
+def test_ranks_in_buckets_equal_plain_ranks(grid, monkeypatch):
+    tree = exact_tree(grid, ["x"], 2)
+    plain = {(r["id"], r["sample"]) for r in consume.representative_samples(grid, tree, 1, ["id"]).collect()}
+    cells = {(r["id"], r["leaf"]) for r in consume.balanced_cells(grid, tree, ["id"], 1).collect()}
+    monkeypatch.setattr(consume, "RANKED", 1)
+    assert {(r["id"], r["sample"]) for r in consume.representative_samples(grid, tree, 1, ["id"]).collect()} == plain
+    assert {(r["id"], r["leaf"]) for r in consume.balanced_cells(grid, tree, ["id"], 1).collect()} == cells
+    assert {r["count"] for r in consume.representative_samples(grid, tree, 1).groupBy("sample").count().collect()} == {4}
+
+
+def test_moments_add_up_by_chunks(grid, monkeypatch):
+    whole = moments.moments(grid, ["x", "y"], 5, [0, 0], [512, 512])
+    monkeypatch.setattr(moments, "CHUNK", 7)
+    assert np.allclose(whole, moments.moments(grid.repartition(9), ["x", "y"], 5, [0, 0], [512, 512]), atol=1e-12)
+    x = np.array([[r["x"], r["y"]] for r in grid.collect()]) / 512
+    assert np.allclose(whole, moments.tensor_sum(x, 5) / len(x))
+    leaves = moments.moments_by_leaf(grid.select((F.col("id") % 3).alias("leaf"), F.col("x").alias("x0")), 4, {k: (np.array([0.0]), np.array([512.0])) for k in range(3)}).collect()
+    assert sorted(r["count"] for r in leaves) == [85, 85, 86] and all(len(r["moments"]) == 9 for r in leaves)
+
+
+def test_precision_does_not_sort(grid):
+    plan = consume.precision_of(consume.counts_by_leaf(grid, exact_tree(grid, ["x"], 2)))._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan.lower()
+
+
+def test_method_form(grid):
+    frames.attach(type(grid))
+    tree = grid.exact_tree(["x", "y"], 3)
+    assert grid.tree_precision(tree) == math.inf and grid.leaf_counts(tree).count() == 8 and grid.assign_leaf(tree).columns[-1] == "leaf"
+    assert {r["count"] for r in grid.representative_samples(["x", "y"], (2, 3), 2, seed=3).groupBy("sample").count().collect()} == {4}
+
+
+def test_blobs_have_a_noise_point(spark):
+    assert points.blobs(spark, 0, 10, seeds=True).agg(F.count("*"), F.max("seed")).first()[:] == (10, 0)
+    assert points.blobs(spark, 0, 1).count() == 1
