@@ -13,6 +13,8 @@ from ..sources.scratch import Scratch, shared_dir
 
 #: Rows that become Python objects at once.
 ROWS = 1000
+
+
 def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The mapInArrow function that applies fn to ROWS rows at a time, so that only so many texts are Python strings at once."""
 
