@@ -9,8 +9,10 @@
    few lists change.
 4. Lists that hold K links are saturated. They are enlarged to all other
    saturated vectors of the label, compared in blocks, which finds the links
-   between components, and to their whole component: its members are compared
-   in tiles, so counts of links are exact there and pairs are never written out.
+   between components, and to their whole component: its members are counted
+   by shells round its smallest one, without reading pairs that a bound of the
+   cosine decides, and in tiles where it doesn't. So counts of links are exact
+   there and pairs are never written out.
 5. An audit compares a bounded sample with all vectors; below RECALL, more
    orders are added and the descent goes on. If the last order leaves it below,
    all vectors of a label are compared in blocks.
@@ -30,6 +32,8 @@ from .vectors import matrix, usable
 ORDERS, MOST_ORDERS, BITS, BESIDE, K = 16, 64, 62, 3, 8
 ROUNDS, CHANGED = 8, 0.005
 TILE = 128
+#: Steps of the threshold's angle in which members are told apart by their angle to the centre of their component.
+SHELLS = 64
 #: Saturated vectors of a label that meet those of another block at once.
 BLOCK = 1024
 #: Vectors of the audit, and the share of them whose links are all to be found.
@@ -167,13 +171,58 @@ def links_between(classes: DataFrame, parts: DataFrame, least: float) -> DataFra
 
 
 def count_links(classes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
-    """id, n: how many rows of other classes each member of a component links with; groups: id, component, without the smallest member."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.union(sizes.select("component", "component")).join(sizes.select("component", F.ceil((F.col("n") + 1) / TILE).cast("int").alias("tiles")), "component")
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    rows = members.withColumn("tile", tile).join(classes, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    """id, n: how many rows of other classes each member of a component links with; groups: id, component, without the smallest member.
+
+    Members of a component of more than TILE are told apart by their angle to
+    its smallest member, in SHELLS steps of the threshold's angle. By the
+    triangle inequality, members of two shells whose outer angles add up to
+    the threshold's at most are all linked, and are counted without being
+    read; those of shells further apart than it are not. Tiles of the other
+    pairs of shells are compared.
+    """
+    theta = float(np.arccos(min(1.0, least)))
+    step = theta * (1 - 1e-9) / SHELLS
+    sizes = groups.groupBy("component").agg((F.count("*") + 1).alias("size"))
+    members = groups.union(sizes.select("component", "component")).join(sizes, "component").join(classes.select("id", "copies", "v"), "id")
+    centres = sizes.where(F.col("size") > TILE).select("component").join(classes.select("id", F.col("v").alias("c")), F.col("component") == F.col("id")).select(F.col("component").alias("k"), "c")
+    kind = classes.schema["v"].dataType.simpleString()
+
+    def shells(batches):
+        for batch in batches:
+            far = batch.column("c").is_valid().to_numpy(zero_copy_only=False)
+            shell = np.zeros(batch.num_rows, np.int32)
+            at = pa.array(np.flatnonzero(far))
+            part = batch.take(at)
+            size = part.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(size).tolist():
+                rows = np.flatnonzero(size == d)
+                own = part.take(pa.array(rows))
+                away = np.linalg.norm(_unit(matrix(own.column("v"))) - _unit(matrix(own.column("c"))), axis=1)
+                shell[at.to_numpy()[rows]] = (2 * np.arcsin(np.minimum(away / 2, 1)) / step).astype(np.int32) if step else 0
+            yield batch.drop_columns(["c"]).append_column("shell", pa.array(shell))
+
+    members = members.join(centres, F.col("component") == F.col("k"), "left").select("component", "size", "id", "copies", "v", "c")
+    members = members.mapInArrow(shells, f"component long, size long, id long, copies long, v {kind}, shell int")
+    by = members.groupBy("component", "shell").agg(F.first("size").alias("size"), F.sum("copies").alias("rows"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    pairs = by.join(by.select(F.col("component").alias("k"), F.col("shell").alias("other"), F.col("rows").alias("more"), F.col("tiles").alias("wide")), F.col("component") == F.col("k"))
+    sure = (F.col("size") > TILE) & (F.col("shell") + F.col("other") + 2 <= SHELLS)
+    never = (F.col("size") > TILE) & (F.abs(F.col("shell") - F.col("other")) > SHELLS + 1)
+    tiles = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda t: F.struct(F.col("other").alias("shell"), t.alias("tile")))
+    plan = pairs.groupBy("component", "shell").agg(
+        F.first("tiles").alias("tiles"),
+        F.sum(F.when(sure, F.col("more")).otherwise(0)).alias("sure"),
+        F.max(sure & (F.col("other") == F.col("shell"))).alias("own"),
+        F.flatten(F.collect_list(F.when(~sure & ~never, tiles))).alias("open"),
+    )
+    plan = plan.withColumnsRenamed({"component": "k", "shell": "s"})
+    rows = members.join(plan, (F.col("component") == F.col("k")) & (F.col("shell") == F.col("s")))
+    counted = rows.select("id", (F.col("sure") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("n"))
+    tile = F.struct("shell", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"))
+    rows = rows.withColumn("tile", tile).withColumn("other", F.explode("open"))
     rows = rows.select("component", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "id", "copies", "v")
-    rows = rows.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q", "tile", "id")
+    rows = rows.select("component", F.col("p.shell").alias("p"), F.col("p.tile").alias("p1"), F.col("q.shell").alias("q"), F.col("q.tile").alias("q1"), (F.col("tile") == F.col("p")).alias("first"), "id", "copies", "v")
+    keys = ["component", "p", "p1", "q", "q1"]
+    rows = rows.withColumn("first", F.col("first").cast("int")).repartition(*keys).sortWithinPartitions(*keys, "first", "id")
 
     def run(batches):
         ids, counts, size = [], [], 0
@@ -181,12 +230,12 @@ def count_links(classes: DataFrame, groups: DataFrame, least: float) -> DataFram
         def told():
             return pa.RecordBatch.from_pydict({"id": pa.array(np.concatenate(ids), pa.int64()), "n": pa.array(np.concatenate(counts), pa.int64())})
 
-        for group in sorted_groups(batches, ["component", "p", "q"]):
-            x, copies, tile = _unit(matrix(group.column("v"))), group.column("copies").to_numpy(), group.column("tile").to_numpy()
+        for group in sorted_groups(batches, keys):
+            x, copies, first = _unit(matrix(group.column("v"))), group.column("copies").to_numpy(), group.column("first").to_numpy()
             link = x @ x.T >= least
             np.fill_diagonal(link, False)
-            if tile[0] != tile[-1]:
-                link &= tile[:, None] != tile[None]
+            if group.column("p")[0] != group.column("q")[0] or group.column("p1")[0] != group.column("q1")[0]:
+                link &= first[:, None] != first[None]
             ids.append(group.column("id").to_numpy()), counts.append(link @ copies)
             size += len(x)
             if size > 50_000:
@@ -195,7 +244,7 @@ def count_links(classes: DataFrame, groups: DataFrame, least: float) -> DataFram
         if size:
             yield told()
 
-    return rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "id long, n long").union(counted).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:

@@ -312,6 +312,23 @@ def test_planted_clusters(spark):
     assert max(counts) > 500 and 20 < len(set(want)) - 200 < 40
 
 
+@pytest.mark.parametrize("spread", [0.002, 0.05, 0.09, 0.13])
+def test_counts_by_shells(spark, monkeypatch, spread):
+    """Tight groups are counted by the bound alone, others in tiles too; copies count as rows."""
+    monkeypatch.setattr(op8, "TILE", 16)
+    rng = np.random.default_rng(14)
+    centre = np.eye(24)[0]
+    x = centre + rng.normal(size=(150, 24)) * (spread / np.sqrt(24)) * rng.uniform(0.1, 1.3, (150, 1))
+    rows = [(i, 7, 1 + i % 3, v) for i, v in enumerate(x.tolist())]
+    classes = spark.createDataFrame(rows, "id long, space long, copies long, v array<double>").repartition(3)
+    groups = spark.createDataFrame([(i, 0) for i in range(1, 150)], "id long, component long")
+    got = {r["id"]: r["n"] for r in op8.count_links(classes, groups, 0.98).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.98
+    np.fill_diagonal(link, False)
+    assert [got[i] for i in range(150)] == (link @ (1 + np.arange(150) % 3)).tolist()
+
+
 def test_descent_finds_what_the_first_orders_miss(spark, monkeypatch):
     rng = np.random.default_rng(12)
     x = [rng.normal(size=24) for _ in range(40)]
