@@ -5,16 +5,15 @@
    Documents with equal digests become one class.
 2. TREES keys of DEPTH minima each are the forest. All documents that agree on
    a key are a region, and what may reach the threshold (less MARGIN) in it is
-   joined loosely: up to REGION documents by all pairs, more in blocks, each
-   pair of which is searched until everything joined is reached.
+   joined loosely.
 3. Loosely joined groups are confirmed on the texts of their members, whose
-   words and shingles are numbered exactly, without hashes. A group is dealt to
-   tiles of bounded size; within a tile all pairs are compared. What a tile's
-   confirmed links join is then stood for by one member, and these are compared
-   in tiles again, as long as that joins more. At last, members of a group
-   that are still apart are compared in pairs of tiles, so that no link within
-   a group is lost; pairs that are joined already are not read again.
+   words and shingles are numbered exactly, without hashes.
 4. Connected components of the confirmed links give the result.
+
+Regions and groups of any size are compared whole, so that no link within one
+is lost: in tiles of bounded size first, then by one document for all that is
+joined by then, and at last in pairs of tiles of what is still apart. So the
+cost of a large group of copies grows with its size, not with its square.
 """
 
 from __future__ import annotations
@@ -167,39 +166,99 @@ def _reached(sig: np.ndarray, sizes: np.ndarray, side: np.ndarray, least: float,
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def loose_links(reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join what may reach the threshold, as forests of each region."""
-    least = percent / 100 - MARGIN
-    keys = reps.select("doc_id", F.posexplode(F.slice("sig", 1, TREES)).alias("t", "k1"))
-    tiles = F.when(F.col("n") <= REGION, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")
-    shared = keys.groupBy("t", "k1").agg(F.count("*").alias("n")).where("n > 1").select("t", "k1", tiles.alias("tiles"))
-    rows = reps.select("doc_id", "n_shingles", "sig").join(keys.join(shared, ["t", "k1"]), "doc_id")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("t", "k1", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "doc_id", "n_shingles", "sig")
-    rows = rows.repartition("t", "k1", "p", "q").sortWithinPartitions("t", "k1", "p", "q", "tile", "doc_id")
+def _told(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k, c in enumerate("ab")})
 
-    def run(batches):
-        out: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def told():
-            return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k, c in enumerate("ab")})
+def _forests(rows: DataFrame, keys: list[str], pairs) -> DataFrame:
+    """Links (a, b), as forests, of each group of rows; pairs: places of linked rows of a group."""
 
-        for group in sorted_groups(batches, ["t", "k1", "p", "q"]):
-            n = group.num_rows
-            ids, sizes, tile, p, q = (group.column(c).to_numpy() for c in ("doc_id", "n_shingles", "tile", "p", "q"))
-            if n < 2 or (p[0] != q[0] and tile[0] == tile[-1]):
+    def run(batches):
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for group in sorted_groups(batches, keys):
+            root = group.column("root").to_numpy()
+            if (root == root[0]).all():
                 continue
-            sig = _flat(group.column("sig"), np.uint16).reshape(n, HASHES)
-            i, j = _loose(sig, sizes, least, percent) if n <= REGION and p[0] == q[0] else _reached(sig, sizes, tile, least, percent)
-            if len(i):
-                out.append(forest(ids[i], ids[j]))
+            i, j = pairs(group)
+            apart = root[i] != root[j]
+            if apart.any():
+                ids = group.column("doc_id").to_numpy()
+                out.append(forest(ids[i[apart]], ids[j[apart]]))
             if len(out) == 1000:
-                yield told()
+                yield _told(out)
                 out = []
         if out:
-            yield told()
+            yield _told(out)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "doc_id").mapInArrow(run, SCHEMA)
+
+
+def _joined(rows: DataFrame, tiles_of, pairs, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) that connect, in every group, what all its pairs connect; rows: doc_id, grp, size, tiles and what `pairs` reads.
+
+    tiles: of the row's group; tiles_of: tiles for a number of rows and their size. A group is dealt to
+    tiles, and within a tile all pairs are compared. Of what is joined by then,
+    one row stands for all of a group's, and these are compared in tiles again,
+    as long as that joins much. At last, rows of a group that are still apart
+    meet in pairs of tiles, where a root with many rows has tiles of its own;
+    two tiles of one root do not meet.
+    """
+    tile = lambda tiles, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), tiles).cast("int")
+    own = lambda df: df.withColumns({"root": F.col("doc_id"), "side": F.lit(0)})
+    rows = rows.withColumn("tile", tile(F.col("tiles"), 0))
+    links = scratch.save(_forests(own(rows), ["grp", "tile"], pairs), f"{name}-links-0")
+    big = scratch.save(rows.where("tiles > 1").drop("tiles", "tile"), f"{name}-big")
+    if not big.limit(1).count():
+        return links
+    had, step = None, 0
+    while True:
+        step += 1
+        parts = components(links, scratch, f"{name}-parts-{step}")
+        named = big.join(parts, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("component", "doc_id")).drop("id", "component")
+        stand_in = F.min(F.struct("doc_id", "size")).alias("r")
+        roots = scratch.save(named.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), stand_in), f"{name}-roots-{step}")
+        open_ = roots.groupBy("grp").agg(F.count("*").alias("m"), tiles_of(F.count("*"), F.sum("r.size")).alias("tiles")).where("m > 1")
+        left = open_.agg(F.sum("m")).first()[0]
+        if not left:
+            return links
+        if had is not None and left > 0.7 * had:
+            break
+        had = left
+        reps = roots.join(open_, "grp").select(F.col("grp").alias("g"), F.col("r.doc_id").alias("d"), "tiles")
+        reps = own(big.join(reps, (F.col("grp") == F.col("g")) & (F.col("doc_id") == F.col("d")))).drop("g", "d").withColumn("tile", tile(F.col("tiles"), step))
+        links = scratch.save(links.union(_forests(reps, ["grp", "tile"], pairs)), f"{name}-links-{step}")
+    own_tiles = tiles_of(F.col("n"), F.col("bytes"))
+    apart = roots.join(open_.select("grp"), "grp", "left_semi").withColumn("own", F.when(own_tiles > 1, own_tiles))
+    few = lambda c: F.sum(F.when(F.col("own").isNull(), F.col(c)))
+    shared = apart.groupBy("grp").agg(F.coalesce(tiles_of(few("n"), few("bytes")), F.lit(0)).alias("shared"), F.coalesce(F.sum("own"), F.lit(0)).alias("owned"))
+    total = (F.col("shared") + F.col("owned")).cast("int").alias("total")
+    before = Window.partitionBy("grp").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    alone = apart.where("own is not null").join(shared, "grp").withColumn("begin", (F.col("shared") + F.coalesce(F.sum("own").over(before), F.lit(0))).cast("int"))
+    alone = alone.select("grp", "root", "begin", (F.col("begin") + F.col("own")).cast("int").alias("stop"), total, F.col("begin").alias("below"))
+    rest = apart.where("own is null").join(shared, "grp").select("grp", "root", F.lit(0).alias("begin"), F.col("shared").alias("stop"), total, F.col("shared").alias("below"))
+    met = named.join(alone.unionByName(rest).withColumnsRenamed({"grp": "g", "root": "r"}), (F.col("grp") == F.col("g")) & (F.col("root") == F.col("r")))
+    met = met.withColumn("tile", F.col("begin") + tile(F.col("stop") - F.col("begin"), -1))
+    upto = lambda a, b: F.filter(F.sequence(a, b), lambda i: i < b)
+    met = met.withColumn("other", F.explode(F.concat(upto(F.lit(0), F.col("below")), upto(F.col("stop"), F.col("total")))))
+    met = met.withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other"), "side": (F.col("tile") > F.col("other")).cast("int")})
+    met = met.drop("g", "r", "begin", "stop", "total", "below", "tile", "other")
+    return links.union(scratch.save(_forests(met, ["grp", "x", "y"], pairs), f"{name}-links-rest"))
+
+
+def loose_links(reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join what may reach the threshold in some region; reps: doc_id, n_shingles, sig."""
+    least = percent / 100 - MARGIN
+    keys = reps.select(F.col("doc_id").alias("d"), F.posexplode(F.slice("sig", 1, TREES)).alias("t", "k1")).select("d", F.xxhash64("t", "k1").alias("grp"))
+    tiles_of = lambda n, size: F.when(n <= REGION, 1).otherwise(F.ceil(n / BLOCK)).cast("int")
+    shared = keys.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", tiles_of(F.col("n"), None).alias("tiles"))
+    rows = reps.select("doc_id", "n_shingles", "sig").join(keys.join(shared, "grp"), F.col("doc_id") == F.col("d")).drop("d").withColumn("size", F.lit(0))
+
+    def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        n, sizes, side = group.num_rows, group.column("n_shingles").to_numpy(), group.column("side").to_numpy()
+        sig = _flat(group.column("sig"), np.uint16).reshape(n, HASHES)
+        return _loose(sig, sizes, least, percent) if n <= REGION else _reached(sig, sizes, side, least, percent)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return _joined(rows, tiles_of, pairs, scratch, "loose")
 
 
 def _confirm(sets: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,80 +310,12 @@ def exact_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return code[new], np.searchsorted(owner[new], np.arange(n + 1))
 
 
-def _compared(rows: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
-    """Links (a, b), as forests, that connect what all pairs within each group of rows link; rows: the keys, doc_id, root, text. Pairs of one root are not links."""
-
-    def run(batches):
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def told():
-            return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k, c in enumerate("ab")})
-
-        for group in sorted_groups(batches, keys):
-            root = group.column("root").to_numpy()
-            if len(root) < 2 or (root == root[0]).all():
-                continue
-            i, j = _confirm(*exact_sets(group.column("text"), words), percent)
-            apart = root[i] != root[j]
-            if apart.any():
-                ids = group.column("doc_id").to_numpy()
-                out.append(forest(ids[i[apart]], ids[j[apart]]))
-            if len(out) == 1000:
-                yield told()
-                out = []
-        if out:
-            yield told()
-
-    rows = rows.select(*keys, "doc_id", "root", "text").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
-    return rows.mapInArrow(run, SCHEMA)
-
-
-def _tiles(n, size):
-    """How many tiles hold so many rows of so many bytes."""
-    return F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_BYTES)).cast("int")
-
-
 def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect the members of each group whose full sets reach the threshold; groups: doc_id, grp, size."""
-    tile = lambda tiles, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), tiles).cast("int")
-    sizes = groups.groupBy("grp").agg(_tiles(F.count("*"), F.sum("size")).alias("tiles"))
-    members = groups.join(sizes, "grp").select("doc_id", "grp", "size", "tiles", tile(F.col("tiles"), 0).alias("tile"))
-    texts = scratch.save(docs.where("doc_id is not null").select("doc_id", "text").join(members, "doc_id"), "texts")
-    links = scratch.save(_compared(texts.withColumn("root", F.col("doc_id")), ["grp", "tile"], words, percent), "links-0")
-    big = texts.where("tiles > 1")
-    if not big.limit(1).count():
-        return links
-    had, step = None, 0
-    while True:
-        # one document stands for all that is joined so far
-        step += 1
-        parts = components(links, scratch, f"tile-parts-{step}")
-        named = big.join(parts, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("component", "doc_id")).drop("id", "component")
-        roots = scratch.save(named.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max(F.when(F.col("doc_id") == F.col("root"), F.col("size"))).alias("size")), f"roots-{step}")
-        open_ = roots.groupBy("grp").agg(F.count("*").alias("m"), _tiles(F.count("*"), F.sum("size")).alias("tiles")).where("m > 1")
-        left = open_.agg(F.sum("m")).first()[0]
-        if not left:
-            return links
-        if had is not None and left > 0.7 * had:
-            break
-        had = left
-        reps = roots.join(open_, "grp").select("grp", F.col("root").alias("doc_id"), "tiles")
-        reps = big.select("doc_id", "text").join(reps, "doc_id").withColumn("root", F.col("doc_id")).withColumn("tile", tile(F.col("tiles"), step))
-        links = scratch.save(links.union(_compared(reps, ["grp", "tile"], words, percent)), f"links-{step}")
-    # a root with many members has tiles of its own, the others share the first ones; two tiles of one root are not compared
-    own = roots.join(open_.select("grp"), "grp", "left_semi").withColumn("own", F.when((F.col("n") >= TILE) | (F.col("bytes") >= TILE_BYTES), _tiles(F.col("n"), F.col("bytes"))))
-    shared = own.groupBy("grp").agg(F.coalesce(_tiles(F.sum(F.when(F.col("own").isNull(), F.col("n"))), F.sum(F.when(F.col("own").isNull(), F.col("bytes")))), F.lit(0)).alias("shared"), F.sum("own").alias("owned"))
-    before = Window.partitionBy("grp").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
-    alone = own.where("own is not null").join(shared, "grp").withColumn("begin", (F.col("shared") + F.coalesce(F.sum("own").over(before), F.lit(0))).cast("int"))
-    total = (F.col("shared") + F.coalesce("owned", F.lit(0))).cast("int").alias("total")
-    alone = alone.select("grp", "root", "begin", (F.col("begin") + F.col("own")).cast("int").alias("stop"), total, F.col("begin").alias("below"))
-    rest = own.where("own is null").join(shared, "grp").select("grp", "root", F.lit(0).alias("begin"), F.col("shared").alias("stop"), total, F.col("shared").alias("below"))
-    rows = named.join(alone.unionByName(rest).withColumnsRenamed({"grp": "g", "root": "r"}), (F.col("grp") == F.col("g")) & (F.col("root") == F.col("r")))
-    rows = rows.withColumn("tile", F.col("begin") + tile(F.col("stop") - F.col("begin"), -1))
-    upto = lambda a, b: F.filter(F.sequence(a, b), lambda i: i < b)
-    others = F.concat(upto(F.lit(0), F.col("below")), upto(F.col("stop"), F.col("total")))
-    rows = rows.withColumn("other", F.explode(others)).withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other")})
-    return links.union(scratch.save(_compared(rows, ["grp", "x", "y"], words, percent), "links-rest"))
+    tiles_of = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_BYTES)).cast("int")
+    groups = groups.join(groups.groupBy("grp").agg(tiles_of(F.count("*"), F.sum("size")).alias("tiles")), "grp")
+    texts = scratch.save(docs.where("doc_id is not null").select("doc_id", "text").join(groups, "doc_id"), "texts")
+    return _joined(texts, tiles_of, lambda group: _confirm(*exact_sets(group.column("text"), words), percent), scratch, "confirmed")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -341,7 +332,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first = F.min(F.struct("doc_id", "n_shingles", "size", "sig")).alias("r")
     classes = every.where("doc_id is not null and n_shingles > 0").groupBy("f1", "f2").agg(first)
     classes = scratch.save(classes.select("f1", "f2", "r.doc_id", "r.n_shingles", "r.size", "r.sig"), "classes")
-    loose = components(scratch.save(loose_links(classes, percent), "loose"), scratch, "loose-parts")
+    loose = components(loose_links(classes, percent, scratch), scratch, "loose-parts")
     # the smallest member of a group is not among the ids of `loose`
     groups = loose.withColumnRenamed("component", "grp").union(loose.select("component", "component").distinct())
     groups = classes.select("doc_id", "size").join(groups, F.col("doc_id") == F.col("id")).groupBy("doc_id", "grp").agg(F.max("size").alias("size"))

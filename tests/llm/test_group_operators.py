@@ -117,6 +117,8 @@ def families(rng):
 def test_large_groups(spark, monkeypatch, budget):
     monkeypatch.setattr(op7, "TILE", budget[0])
     monkeypatch.setattr(op7, "TILE_BYTES", budget[1])
+    monkeypatch.setattr(op7, "REGION", 20)
+    monkeypatch.setattr(op7, "BLOCK", 20)
     monkeypatch.setattr(op7, "MARGIN", 0.45)  # boilerplate joins loosely
     texts = families(random.Random(3))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
@@ -170,7 +172,7 @@ def test_pairs_of_a_large_region_are_found_wherever_their_ids_are(spark):
         sig[b, 88:90], sig[b, 92:] = sig[a, 88:90], sig[a, 92:]
     rows = [(i, 100, x) for i, x in enumerate(sig.view(np.int64).tolist())]
     reps = spark.createDataFrame(rows, "doc_id long, n_shingles long, sig array<long>").repartition(3)
-    got = {(min(r), max(r)) for r in op7.loose_links(reps, 85).collect()}
+    got = {(min(r), max(r)) for r in op7.loose_links(reps, 85, Scratch(spark, "test")).collect()}
     assert got == set(pairs)
 
 
