@@ -23,11 +23,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, list_column, sorted_groups, table
 from .components import SCHEMA, components, forest
+from .meetings import meetings
 from .textvec import blocks, byte_tables, distinct_runs, mix, run_hashes, runs, utf8
 
 HASHES, TREES, DEPTH = 96, 16, 4
@@ -227,21 +228,7 @@ def _joined(rows: DataFrame, tiles_of, pairs, scratch: Scratch, name: str) -> Da
         reps = roots.join(open_, "grp").select(F.col("grp").alias("g"), F.col("r.doc_id").alias("d"), "tiles")
         reps = own(big.join(reps, (F.col("grp") == F.col("g")) & (F.col("doc_id") == F.col("d")))).drop("g", "d").withColumn("tile", tile(F.col("tiles"), step))
         links = scratch.save(links.union(_forests(reps, ["grp", "tile"], pairs)), f"{name}-links-{step}")
-    own_tiles = tiles_of(F.col("n"), F.col("bytes"))
-    apart = roots.join(open_.select("grp"), "grp", "left_semi").withColumn("own", F.when(own_tiles > 1, own_tiles))
-    few = lambda c: F.sum(F.when(F.col("own").isNull(), F.col(c)))
-    shared = apart.groupBy("grp").agg(F.coalesce(tiles_of(few("n"), few("bytes")), F.lit(0)).alias("shared"), F.coalesce(F.sum("own"), F.lit(0)).alias("owned"))
-    total = (F.col("shared") + F.col("owned")).cast("int").alias("total")
-    before = Window.partitionBy("grp").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
-    alone = apart.where("own is not null").join(shared, "grp").withColumn("begin", (F.col("shared") + F.coalesce(F.sum("own").over(before), F.lit(0))).cast("int"))
-    alone = alone.select("grp", "root", "begin", (F.col("begin") + F.col("own")).cast("int").alias("stop"), total, F.col("begin").alias("below"))
-    rest = apart.where("own is null").join(shared, "grp").select("grp", "root", F.lit(0).alias("begin"), F.col("shared").alias("stop"), total, F.col("shared").alias("below"))
-    met = named.join(alone.unionByName(rest).withColumnsRenamed({"grp": "g", "root": "r"}), (F.col("grp") == F.col("g")) & (F.col("root") == F.col("r")))
-    met = met.withColumn("tile", F.col("begin") + tile(F.col("stop") - F.col("begin"), -1))
-    upto = lambda a, b: F.filter(F.sequence(a, b), lambda i: i < b)
-    met = met.withColumn("other", F.explode(F.concat(upto(F.lit(0), F.col("below")), upto(F.col("stop"), F.col("total")))))
-    met = met.withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other"), "side": (F.col("tile") > F.col("other")).cast("int")})
-    met = met.drop("g", "r", "begin", "stop", "total", "below", "tile", "other")
+    met = meetings(named, roots.join(open_.select("grp"), "grp", "left_semi"), tiles_of)
     return links.union(scratch.save(_forests(met, ["grp", "x", "y"], pairs), f"{name}-links-rest"))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, sorted_groups, table
 from .components import SCHEMA, components, forest
+from .meetings import meetings
 from .vectors import matrix, usable
 
 ORDERS, MOST_ORDERS, BITS, BESIDE, K = 16, 64, 62, 3, 8
@@ -34,7 +35,7 @@ ROUNDS, CHANGED = 8, 0.005
 TILE = 128
 #: Steps of the threshold's angle in which members are told apart by their angle to the centre of their component.
 SHELLS = 64
-#: Saturated vectors of a label that meet those of another block at once.
+#: Saturated vectors of a label in a tile, where those of different components meet.
 BLOCK = 1024
 #: Vectors of the audit, and the share of them whose links are all to be found.
 AUDIT, RECALL = 512, 0.99
@@ -142,20 +143,19 @@ def saturated(edges: DataFrame, least: float) -> DataFrame:
 
 
 def links_between(classes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b), as forests of pairs of blocks, that connect the components of the given classes; parts: id, component."""
-    rows = classes.select("id", "space", "v").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    blocks = rows.groupBy("space").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high"))
-    blocks = blocks.where("low < high").select("space", "blocks")
-    rows = rows.join(blocks, "space").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("space", F.size("v").alias("d"), F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "id", "component", "v")
-    keys = ["space", "d", "p", "q"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "tile", "id")
+    """Links (a, b), as forests of pairs of tiles, that connect the components of the given classes; parts: id, component."""
+    rows = classes.select("id", "space", "v").join(parts, "id", "left").select(F.col("id").alias("doc_id"), F.col("space").alias("grp"), F.coalesce("component", "id").alias("root"), "v")
+    roots = rows.groupBy("grp", "root").agg(F.count("*").alias("n"), F.lit(0).alias("bytes"))
+    several = roots.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp")
+    keys = ["grp", "x", "y"]
+    rows = meetings(rows, roots.join(several, "grp", "left_semi"), lambda n, _: F.ceil(n / BLOCK).cast("int"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "side", "doc_id")
 
     def run(batches):
         for group in sorted_groups(batches, keys):
-            tile, part = group.column("tile").to_numpy(), group.column("component").to_numpy()
-            one = group.column("p")[0].as_py() == group.column("q")[0].as_py()
-            cut = 0 if one else int(np.searchsorted(tile, tile[0], "right"))
+            side, part = group.column("side").to_numpy(), group.column("root").to_numpy()
+            one = group.column("x")[0].as_py() == group.column("y")[0].as_py()
+            cut = 0 if one else int(np.searchsorted(side, 1))
             x = _unit(matrix(group.column("v")))
             a, b = [], []
             for lo in range(0, len(x) if one else cut, TILE):
