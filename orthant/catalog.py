@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +20,8 @@ from .operators.sampled import sampled_tree, stratified_sample
 from .plans.tree import SplitTree
 from .sources import points, report
 from .sources.scratch import Scratch
+from .streaming.leaves import windowed_leaf_counts
+from .streaming.moments import stream_moments
 from . import oracle as sql
 
 AXES = ("o_totalprice", "o_custkey")
@@ -259,7 +262,41 @@ def _q_results_round_trip(spark, d):
 
 def _q_box_filter(spark, d):
     df = _orders(spark, d)
-    return consume.in_box(df, _canonical(df, 4), {"o_totalprice": (100_000.0, 200_000.0), "o_custkey": (100.0, 700.0)}).select(*KEY)
+    return consume.in_box(df, _canonical(df, 4), BOX).select(*KEY)
+
+
+BOX = {"o_totalprice": (100_000.0, 200_000.0), "o_custkey": (100.0, 700.0)}
+
+
+def _q_leaves_of_box(spark, d):
+    leaves = consume.leaves_of_box(_canonical(_orders(spark, d), 4), BOX)
+    return spark.createDataFrame([(n,) for n in leaves], "leaf long")
+
+
+def _stream(spark, d) -> DataFrame:
+    """The orders as a stream; dates without a zone are taken as UTC."""
+    rows = spark.readStream.schema(_orders(spark, d).schema).option("pathGlobFilter", "orders.parquet").parquet(d)
+    return rows.withColumn("o_orderdate", F.expr("timestamp_seconds(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', o_orderdate))"))
+
+
+def _drained(df: DataFrame) -> DataFrame:
+    """The whole result of a stream that has ended; df: a row for each leaf and window."""
+    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
+    state = f"{Scratch(spark, 'stream').root}/state"
+    df.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _q_stream_leaf_counts(spark, d):
+    counts = windowed_leaf_counts(_stream(spark, d), _canonical(_orders(spark, d), 2), "o_orderdate", "30 days", "30 days")
+    return _drained(counts).select(F.unix_timestamp("start").alias("start"), "leaf", "count")
+
+
+def _q_stream_moments(spark, d):
+    row = quantile.bounds(_orders(spark, d), AXES[:1]).first()
+    sums = stream_moments(_stream(spark, d), AXES[0], 6, row[f"lower_{AXES[0]}"], row[f"upper_{AXES[0]}"])
+    out = _drained(sums).select("leaf", "count", F.posexplode("sums").alias("pos", "total"))
+    return out.select("leaf", "count", "pos", F.expr("round(total / count, 6) + 0.0D").alias("moment"))
 
 
 def _summary(df: DataFrame) -> DataFrame:

@@ -189,6 +189,9 @@ def queries(axes: Sequence[str], key: str, depth: int, j: Sequence[int], j3: Seq
         f"SELECT leaf, count(*) AS count, pos::INT AS pos, round(avg({_basis('z')}), 8) + 0.0 AS moment FROM (SELECT w.leaf, {z} AS z FROM l2 JOIN w ON l2.node = w.leaf), h GROUP BY leaf, pos"
     )
     out["box_filter"] = f"SELECT {key} FROM orders WHERE {x} BETWEEN 100000 AND 200000 AND {y} BETWEEN 100 AND 700"
+    out["leaves_of_box"] = f"WITH {canonical(4)}, {', '.join(cells)} SELECT node AS leaf FROM c4 WHERE x0 <= 200000 AND x1 >= 100000 AND y0 <= 700 AND y1 >= 100"
+    out["stream_leaf_counts"] = f"WITH {canonical(2).replace(rows, f'SELECT {key}, {x}, {y}, o_orderdate FROM orders', 1)} SELECT (epoch(o_orderdate)::BIGINT // 2592000) * 2592000 AS start, node AS leaf, count(*) AS count FROM l2 GROUP BY ALL"
+    out["stream_moments"] = f"WITH {_harmonics(6)} SELECT 0::BIGINT AS leaf, count(*) AS count, (w - 1 + (k = 's')::INT)::INT AS pos, round(avg({_basis('z')}), 6) + 0.0 AS moment FROM (SELECT {unit(x)} AS z FROM orders), h WHERE w > 0 GROUP BY w, k"
     default = prod((2, 4, 4))
     out["harmonic_default_splits"] = f"WITH RECURSIVE {harmonic_ctes(rows, key, axes, default, 2)} SELECT depth, variable, node, round(point, 4) AS point FROM ({union_splits(axes, 2)})"
     out["harmonic_default_counts"] = f"WITH RECURSIVE {harmonic_ctes(rows, key, axes, default, 2)} {_counts(2)}"
