@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,9 +158,13 @@ def solve(doc: np.ndarray, hashes: np.ndarray, grade: np.ndarray, grades: int, s
 
     doc, hashes: one entry for each text's distinct feature.
     """
-    names, col = np.unique(hashes, return_inverse=True)
-    keep = _distinct(doc, hashes, np.bincount(col, minlength=len(names))[col], len(grade))
-    use, place = keep[doc], np.cumsum(keep) - 1
+    col, names = pd.factorize(hashes)
+    order = np.argsort(names)
+    place = np.empty(len(names), np.int32)
+    place[order] = np.arange(len(names))
+    names, col = names[order], place[col]  # in 32 bits: there are millions
+    keep = _distinct(doc, hashes, np.bincount(col, minlength=len(names)).astype(np.int32)[col], len(grade))
+    use, place = keep[doc], (np.cumsum(keep) - 1).astype(np.int32)
     doc, col, grade = place[doc[use]], col[use], grade[keep]
     n = len(grade)
     have = np.bincount(col, minlength=len(names))
@@ -169,7 +174,7 @@ def solve(doc: np.ndarray, hashes: np.ndarray, grade: np.ndarray, grades: int, s
     worth[worth < max(LEAST_Z, LEAST_SHARE * worth.max(initial=0))] = 0
     chosen = np.flatnonzero(worth)
     chosen = chosen[np.argsort(-worth[chosen], kind="stable")[:FEATURES]]
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     use = place[col] >= 0
     doc, col = doc[use], place[col[use]]
@@ -230,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: list[int] | N
     lists = got.column("hashes").combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    model = solve(np.repeat(np.arange(len(level)), sizes), hashes, level, len(grades), style)
+    del got, lists
+    model = solve(np.repeat(np.arange(len(level), dtype=np.int32), sizes), hashes, level, len(grades), style)
     model.grades = grades
     return model
 
