@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch, shared_dir
 
-#: Rows that become Python objects at once.
-ROWS = 1000
+#: Rows that become Python objects at once, and bytes of a batch on its way to Python and back: many times that much is held outside the JVM's heap.
+ROWS, BATCH_BYTES = 1000, 1 << 22
+
+
+def small_batches(df: DataFrame) -> None:
+    """Limit the session's Arrow batches to BATCH_BYTES, unless they are smaller already."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m")))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def over_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -67,4 +75,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["ROWS", "Scratch", "list_column", "over_batches", "share", "shared_dir", "sorted_groups", "table"]
+__all__ = ["ROWS", "Scratch", "list_column", "over_batches", "share", "shared_dir", "small_batches", "sorted_groups", "table"]

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS, table
+from .common import ROWS, small_batches, table
 from .segment import IdMemo, pieces, unsure
 from .textvec import code_points
 
@@ -179,6 +179,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     same ids. Null and empty texts consist of the end id alone. Equal rows are
     packed each; a null doc_id stays null; other columns are not read.
     """
+    small_batches(docs)
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches):

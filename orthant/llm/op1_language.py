@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_batches, share, table
+from .common import over_batches, share, small_batches, table
 from .textvec import LETTER, char_classes, code_points
 
 BITS = 16
@@ -105,6 +105,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     frequent are learned. Counts are summed on the executors and only buckets
     by classes reach the driver.
     """
+    small_batches(docs)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(_held_out(), F.lit(False))).select("doc_id", "text", "lang")
     n = rows.count()
     if n > train_rows:

@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS, Scratch, list_column, table
+from .common import ROWS, Scratch, list_column, small_batches, table
 from .op10_packing import byte_alphabet
 from .segment import IdMemo, pieces, unsure
 from .textvec import code_points, distinct_runs
@@ -415,6 +415,7 @@ def transcode(docs: DataFrame, path: str | None = None, digests: bool = False, s
     get a row; other columns are not read; an empty table gives an empty
     lexicon.
     """
+    small_batches(docs)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     name = build(docs, path, size)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, list_column, table
+from .common import Scratch, list_column, small_batches, table
 from .vectors import matrix, usable
 
 #: Rows that the rotations are fitted on and queries that the radii are learned from, at most.
@@ -302,6 +302,7 @@ def search(rows: DataFrame, asked: Column, k: int = 10) -> DataFrame:
     an empty table gives no rows; other columns are not read. Every row is
     indexed and every query is asked.
     """
+    small_batches(rows)
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "neighbours")
     used = rows.where(usable("embedding") & F.col("vec_id").isNotNull())
     used = used.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.coalesce(asked, F.lit(False)).alias("asked"), F.col("embedding").alias("v"))

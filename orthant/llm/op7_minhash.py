@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, list_column, sorted_groups, table
+from .common import Scratch, list_column, small_batches, sorted_groups, table
 from .components import SCHEMA, components, forest
 from .meetings import meetings
 from .textvec import blocks, byte_tables, distinct_runs, mix, run_hashes, runs, utf8
@@ -314,6 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows agree; a null doc_id is linked with nothing, has no component and is
     kept. Other columns are not read; an empty table gives no rows.
     """
+    small_batches(docs)
     scratch = Scratch(docs.sparkSession, "minhash")
     every = scratch.save(signatures(docs, words), "signatures")
     first = F.min(F.struct("doc_id", "n_shingles", "size", "sig")).alias("r")

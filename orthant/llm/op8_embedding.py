@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, sorted_groups, table
+from .common import Scratch, small_batches, sorted_groups, table
 from .components import SCHEMA, components, forest
 from .meetings import meetings
 from .vectors import matrix, usable
@@ -290,6 +290,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, label: str = "label
     its copies; rows with the same vec_id and vector get the same result. Other
     columns are not read; an empty table gives no rows.
     """
+    small_batches(vectors)
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     usable_row = usable("embedding") & F.col(label).isNotNull() & F.col("vec_id").isNotNull()

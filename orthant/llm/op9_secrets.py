@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import over_batches, table
+from .common import over_batches, small_batches, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -260,6 +260,8 @@ def scan(docs: DataFrame) -> DataFrame:
     each get a row; other columns are not read.
     """
 
+    small_batches(docs)
+
     @over_batches
     def run(batch):
         counts, digests, said = ([], [], [], []), [], []
@@ -292,6 +294,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents; secrets in their texts are replaced by a mark, and n_chars follows where a text changed."""
+    small_batches(docs)
     schema, at = docs.schema, docs.columns.index("text")
 
     @over_batches

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, list_column, share
+from .common import Scratch, list_column, share, small_batches
 from .textvec import blocks, byte_tables, mix, run_hashes, runs, utf8
 
 #: Expected number of labelled rows that a model is fitted on at most, at any size of the input, and expected bytes of their features that reach the driver.
@@ -207,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: list[int] | N
     bounded. Documents whose id is null have no label; several labels of a
     document each count.
     """
+    small_batches(docs)
     rows = labels.select("doc_id", grade.cast("long").alias("grade")).where("doc_id is not null and grade is not null")
     n = rows.count()
     if n > train_rows:
