@@ -238,7 +238,8 @@ def loose_links(reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     keys = reps.select(F.col("doc_id").alias("d"), F.posexplode(F.slice("sig", 1, TREES)).alias("t", "k1")).select("d", F.xxhash64("t", "k1").alias("grp"))
     tiles_of = lambda n, size: F.when(n <= REGION, 1).otherwise(F.ceil(n / BLOCK)).cast("int")
     shared = keys.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", tiles_of(F.col("n"), None).alias("tiles"))
-    rows = reps.select("doc_id", "n_shingles", "sig").join(keys.join(shared, "grp"), F.col("doc_id") == F.col("d")).drop("d").withColumn("size", F.lit(0))
+    members = scratch.save(keys.join(shared, "grp"), "regions")
+    rows = reps.select("doc_id", "n_shingles", "sig").join(members, F.col("doc_id") == F.col("d")).drop("d").withColumn("size", F.lit(0))
 
     def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         n, sizes, side = group.num_rows, group.column("n_shingles").to_numpy(), group.column("side").to_numpy()
