@@ -48,18 +48,15 @@ def level_points(df: DataFrame, tree: SplitTree, variable: str, median: Column)
     return {r["__leaf"]: r["point"] for r in rows}
 
 
-def exact_points(df: DataFrame, tree: SplitTree, variable: str, few: int = FEW) -> dict[int, float | None]:
-    """The exact median of each node of the level after the tree: the middle value, or the midpoint of the two.
+def _values(df: DataFrame, tree: SplitTree, variable: str) -> DataFrame:
+    """__leaf, __x, __f: the node and value of each row that has both, and the value as a finite number, null for NaN."""
+    x = F.when(F.isnan("__x"), None).otherwise(F.greatest(F.least("__x", F.lit(_LARGEST)), F.lit(-_LARGEST)))
+    return assign(whole(df, tree.variables), tree, "__leaf").select("__leaf", value(variable).alias("__x")).where("__x is not null").withColumn("__f", x)
 
-    Every pass counts, for each node, the values in BINS equal parts of the
-    range that is known to hold its middle values, and narrows the range to
-    the parts that do. When at most `few` values are left in it, or nothing
-    but neighbouring floats, its distinct values are counted and the middle
-    ones picked. All are partial and final aggregates: no task holds a node's
-    values. NaN counts as larger than any number.
-    """
-    spark, x = df.sparkSession, F.when(F.isnan("__x"), None).otherwise(F.greatest(F.least("__x", F.lit(_LARGEST)), F.lit(-_LARGEST)))
-    rows = assign(whole(df, tree.variables), tree, "__leaf").select("__leaf", value(variable).alias("__x")).where("__x is not null").withColumn("__f", x)
+
+def exact_points(df: DataFrame, tree: SplitTree, variable: str, few: int = FEW) -> dict[int, float | None]:
+    """The exact median of each node of the level after the tree: the middle value, or the midpoint of the two; NaN counts as larger than any number."""
+    rows = _values(df, tree, variable)
     bounds = rows.groupBy("__leaf").agg(F.count("*").alias("n"), F.count("__f").alias("m"), F.min("__f").alias("lo"), F.max("__f").alias("hi"))
     state = {}  # by leaf: first rank of the range, its bounds, ranks of the middle values
     out: dict[int, float | None] = {}
@@ -69,6 +66,53 @@ def exact_points(df: DataFrame, tree: SplitTree, variable: str, few: int = FEW)
             out[r["__leaf"]] = float("nan")
         else:
             state[r["__leaf"]] = [0, r["lo"], r["hi"], low, high, r["m"]]
+    return out | _picked(rows, state, few)
+
+
+def lower_points(df: DataFrame, tree: SplitTree, variable: str, accuracy: int, few: int = FEW) -> dict[int, float | None]:
+    """The lower median of each node of the level after the tree: a value of the data, as `percentile_approx` gives it, but exact at any size.
+
+    A pass counts the rows beside each sketched median. Where these counts don't
+    confirm its rank, the value of that rank is picked from the range between
+    sketched quantiles on both sides, or from all values if that range lacks it.
+    """
+    off = 2.0 / accuracy
+    sketch = F.percentile_approx(value(variable), [0.5, max(0.0, 0.5 - off), min(1.0, 0.5 + off)], F.lit(accuracy))
+    near = level_points(df, tree, variable, sketch)
+    table = df.sparkSession.createDataFrame([(leaf, *p) for leaf, p in near.items() if p is not None], "__at long, __p double, __a double, __b double")
+    rows = _values(df, tree, variable)
+    n = lambda condition: F.count_if(F.expr(condition))
+    counts = rows.join(_small(table), F.col("__leaf") == F.col("__at")).groupBy("__leaf").agg(
+        F.count("*").alias("n"), F.count("__f").alias("m"), F.min("__f").alias("lo"), F.max("__f").alias("hi"),
+        F.first("__p").alias("p"), F.first("__a").alias("a"), F.first("__b").alias("b"),
+        n("__x < __p").alias("below"), n("__x <= __p").alias("upto"), n("__f < __a").alias("skip"), n("__f between __a and __b").alias("held"),
+    )
+    out: dict[int, float | None] = {}
+    state = {}
+    for r in counts.collect():  # 2**depth rows at most
+        rank = (r["n"] - 1) // 2
+        if rank >= r["m"]:
+            out[r["__leaf"]] = float("nan")
+        elif r["below"] <= rank < r["upto"]:
+            out[r["__leaf"]] = r["p"]
+        elif r["skip"] <= rank < r["skip"] + r["held"] and abs(r["a"]) <= _LARGEST and abs(r["b"]) <= _LARGEST:
+            state[r["__leaf"]] = [r["skip"], r["a"], r["b"], rank, rank, r["held"]]
+        else:
+            state[r["__leaf"]] = [0, r["lo"], r["hi"], rank, rank, r["m"]]
+    return out | _picked(rows, state, few)
+
+
+def _picked(rows: DataFrame, state: dict[int, list], few: int) -> dict[int, float | None]:
+    """The middle value of each node, or the midpoint of the two; state: by node the first rank of a range, its bounds, the ranks of the middle values, rows.
+
+    Every pass counts, for each node, the values in BINS equal parts of the
+    range that is known to hold its middle values, and narrows the range to
+    the parts that do. When at most `few` values are left in it, or nothing
+    but neighbouring floats, its distinct values are counted and the middle
+    ones picked. All are partial and final aggregates: no task holds a node's
+    values.
+    """
+    spark, out = rows.sparkSession, {}
     for _ in range(PASSES):
         wide = {leaf: s for leaf, s in state.items() if s[5] > few and s[1] < s[2]}
         if not wide:
@@ -114,9 +158,14 @@ def _grow(df: DataFrame, variables: Sequence[str], depth: int, points) -> SplitT
     return tree
 
 
-def canonical_tree(df: DataFrame, variables: Sequence[str], depth: int | None = None, accuracy: int = 100) -> SplitTree:
-    """Cut at approximate medians (relative rank error at most 1 / accuracy); points are values of the data."""
-    return _grow(df, variables, len(variables) if depth is None else depth, lambda df, tree, v: level_points(df, tree, v, F.percentile_approx(value(v), 0.5, F.lit(accuracy))))
+def canonical_tree(df: DataFrame, variables: Sequence[str], depth: int | None = None, accuracy: int = 100, exact: bool = False) -> SplitTree:
+    """Cut at approximate medians (relative rank error at most 1 / accuracy); points are values of the data.
+
+    With `exact`, counts confirm or correct each of them to the lower median; a level then takes a pass more, or a few.
+    """
+    sketched = lambda df, tree, v: level_points(df, tree, v, F.percentile_approx(value(v), 0.5, F.lit(accuracy)))
+    settled = lambda df, tree, v: lower_points(df, tree, v, accuracy)
+    return _grow(df, variables, len(variables) if depth is None else depth, settled if exact else sketched)
 
 
 def exact_tree(df: DataFrame, variables: Sequence[str], depth: int | None = None) -> SplitTree:

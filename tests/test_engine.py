@@ -229,3 +229,21 @@ def test_method_form(grid):
 def test_blobs_have_a_noise_point(spark):
     assert points.blobs(spark, 0, 10, seeds=True).agg(F.count("*"), F.max("seed")).first()[:] == (10, 0)
     assert points.blobs(spark, 0, 1).count() == 1
+
+
+@pytest.mark.parametrize("few", [1, 1 << 20])
+@pytest.mark.parametrize("accuracy", [1, 3, 20, 1000])
+def test_lower_points_are_exact_whatever_the_sketch(spark, accuracy, few):
+    rng = np.random.default_rng(11)
+    groups = [rng.normal(size=1001), rng.normal(size=1000), np.repeat([1.0, 2.0, 3.0], [50, 1, 49]), np.array([5.0]), np.array([1.0, 4.0]), np.full(40, -2.5), np.repeat([-math.inf, 0.0, math.inf, math.nan], [5, 1, 9, 2]), np.repeat([7.0, math.nan], [2, 9])]
+    rows = [(float(2 * g), float(v)) for g, x in enumerate(groups) for v in x]
+    df = spark.createDataFrame(rows, "g double, x double").repartition(3)
+    tree = SplitTree(("g", "g", "g"), ((7.0,), (3.0, 11.0), (1.0, 5.0, 9.0, 13.0)))
+    got = quantile.lower_points(df, tree, "x", accuracy, few)
+    assert {k: str(v) for k, v in got.items()} == {g: str(float(np.sort(x)[(len(x) - 1) // 2])) for g, x in enumerate(groups)}
+
+
+def test_exact_canonical_tree_of_a_coarse_sketch(spark):
+    df = spark.createDataFrame([(float(v), float(w)) for v, w in np.random.default_rng(5).normal(size=(4000, 2))], "x double, y double")
+    coarse, exact = canonical_tree(df, ["x", "y"], 4, 20), canonical_tree(df, ["x", "y"], 4, 20, exact=True)
+    assert consume.precision(df, exact) == math.inf > consume.precision(df, coarse)
